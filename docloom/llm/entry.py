@@ -14,6 +14,9 @@ QUERIES = {
     "p7_found": "split_oversized",
     "p7_pieces": "split_oversized",
     "p8_ids": "encode",
+    "p9_found": "leaks",
+    "p9_items": "leaks",
+    "p10_found": "shared_spans",
 }
 
 
