@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Query name -> module of this subpackage.
 QUERIES = {
+    "p1_found": "cross_split",
+    "p1_report": "cross_split",
+    "p2_found": "grouped_splits",
+    "p2_splits": "grouped_splits",
+    "p3_found": "consensus",
+    "p3_agreement": "consensus",
+    "p3_annotators": "consensus",
+    "p4_found": "repeated_lines",
+    "p4_clean": "repeated_lines",
     "p5_found": "token_budget",
     "p5_totals": "token_budget",
     "p7_found": "split_oversized",
@@ -25,4 +34,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    modules = {module: import_module(f"docloom.llm.{module}") for module in QUERIES.values()}
+    return {name: sql for module in modules.values() for name, sql in getattr(module, "SQL", {}).items()}
