@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers each (a few MB) that may be broadcast after they were counted.
+SMALL_ROWS = 200_000
+
+
+def if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A side of a join, to be broadcast if it is counted to have no more rows than that, else left to a shuffled join.
+
+    Only for rows of a few fixed-size columns.
+    """
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give Python work on a small input as many tasks as there are cores; a larger one keeps its own partitions."""
     cores = df.sparkSession.sparkContext.defaultParallelism
