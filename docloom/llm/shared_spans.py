@@ -5,10 +5,10 @@ it. The windows with the same cut point follow each other and make one variable
 one by span - 1 characters, so that no span of that length falls between two chunks. Cut points depend only on the
 characters around them: insertions elsewhere move chunks but do not change them. Chunks are deduplicated by digest:
 
+* a cut point of one document only ends there;
 * a digest in two documents: all its windows are shared;
-* a cut point in two documents whose chunks differ (at the edges of a copied passage): its windows are compared one by
-  one, once per distinct chunk;
-* everything else occurs in one document only and is dropped.
+* chunks that differ at a cut point of several documents (the edges of a copied passage): their windows are compared one
+  by one, where enough around the cut point is alike.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.plans.runtime import shared_dir, spread, table, type_of
+from docloom.plans.runtime import SMALL_ROWS, cut_lineage, if_small, spread, table, type_of
 
 SPAN, GEAR = 200, 64
 
@@ -84,29 +84,35 @@ def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def chunk_texts(texts: list[str], span: int = SPAN, gear: int = GEAR) -> tuple[np.ndarray, ...]:
-    """(index of the text, cut hash, digest, start, windows, windows before the cut point) of every chunk."""
+    """(index of the text, cut hash, digest, start, windows, windows before the cut, digest left, digest right, sides).
+
+    The digests left and right are of the half = (span - gear) / 2 characters before and after the gear hash's own: a
+    common window needs one of the two alike. Bit 1 of sides tells that the text has a left one, bit 2 a right one.
+    """
     hashed = Hashed(texts)
-    if hashed.n < span:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
     rolled = hashed.gear(gear)
+    if hashed.n < span:
+        return tuple(np.zeros(0, np.int64) for _ in range(9))
     bits = np.uint64(max(1, int(len(rolled)).bit_length()))
     ranked = (_mix(rolled) >> bits << bits) | np.arange(len(rolled), dtype=np.uint64)
     cut = (_sliding_min(ranked, span - gear + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    place = np.arange(len(cut))
-    text = np.searchsorted(hashed.ends, place, "right")
-    inside = place + span <= hashed.ends[np.minimum(text, len(hashed.ends) - 1)]
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[: len(cut)]
+    inside = np.arange(span, span + len(cut)) <= hashed.ends[text]
     new = np.ones(len(cut), bool)
     new[1:] = (cut[1:] != cut[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
     first = np.flatnonzero(new & inside)
     if not len(first):
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
-    # a chunk's windows end before the next chunk of the same text or the text's last window
-    last_window = hashed.ends[text[first]] - span
-    last = np.minimum(np.append(first[1:] - 1, len(cut)), last_window)
-    n, lead = last - first + 1, cut[first] - first
+        return tuple(np.zeros(0, np.int64) for _ in range(9))
+    owner = text[first]
+    begin, end = np.concatenate(([0], hashed.ends[:-1]))[owner], hashed.ends[owner]
+    # a chunk's windows end before the next chunk of the same text or with the text's last window
+    last = np.minimum(np.append(first[1:] - 1, len(cut)), end - span)
+    n, at = last - first + 1, cut[first]
+    lead, half = at - first, (span - gear) // 2
     digest = hashed.digests(first, last + span) + n.astype(np.uint64) * _BASE + lead.astype(np.uint64)
-    origin = np.concatenate(([0], hashed.ends[:-1]))[text[first]]
-    return text[first], rolled[cut[first]].view(np.int64), digest.view(np.int64), first - origin, n, lead
+    left, right = hashed.digests(np.maximum(begin, at - half), at), hashed.digests(at + gear, np.minimum(end, at + gear + half))
+    sides = (at - half >= begin) + 2 * (at + gear + half <= end)
+    return owner, rolled[at].view(np.int64), digest.view(np.int64), first - begin, n, lead, left.view(np.int64), right.view(np.int64), sides
 
 
 def _portions(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
@@ -121,26 +127,33 @@ def _portions(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def chunk_rows(docs: DataFrame, id_col: str, text_col: str, span: int, gear: int) -> DataFrame:
-    """(doc, cut, digest, place): place holds start, windows and windows before the cut point in one number."""
+def chunk_rows(docs: DataFrame, id_col: str, text_col: str, span: int, gear: int, *, full: bool) -> DataFrame:
+    """(doc, cut) of every chunk; full: also digest, place (start, windows, windows before the cut in one number), left
+    and right (null where the text ends before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _portions(texts, BATCH_CHARS):
-                row, cut, digest, start, n, lead = chunk_texts([t or "" for t in texts[a:b]], span, gear)
-                place = (start << 20) | (n << 10) | lead
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a, pa.int64())), pa.array(cut), pa.array(digest), pa.array(place)], ["doc", "cut", "digest", "place"])
+                row, cut, digest, start, n, lead, left, right, sides = chunk_texts([t or "" for t in texts[a:b]], span, gear)
+                columns = {"doc": batch.column(0).take(pa.array(row + a, pa.int64())), "cut": pa.array(cut)}
+                if full:
+                    place = (start << 20) | (n << 10) | lead
+                    columns |= {"digest": pa.array(digest), "place": pa.array(place), "left": pa.array(left, mask=sides & 1 == 0), "right": pa.array(right, mask=sides & 2 == 0)}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return spread(docs.where(F.length(text_col) >= span).select(id_col, text_col)).mapInArrow(run, f"doc {type_of(docs, id_col)}, cut long, digest long, place long")
+    schema = f"doc {type_of(docs, id_col)}, cut long" + ", digest long, place long, left long, right long" * full
+    return spread(docs.where(F.length(text_col) >= span).select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def _start(place: F.Column) -> F.Column:
     return F.shiftright(place, 20)
 
 
-def _windows(place: F.Column) -> F.Column:
-    return F.shiftright(place, 10).bitwiseAND(F.lit(1023))
+def _stretch(rows: DataFrame, span: int) -> DataFrame:
+    """(doc, start, end) of whole chunks."""
+    place = F.col("place")
+    return rows.select("doc", _start(place).alias("start"), (_start(place) + F.shiftright(place, 10).bitwiseAND(F.lit(1023)) - 1 + span).alias("end"))
 
 
 def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gear: int = GEAR) -> DataFrame:
@@ -149,34 +162,34 @@ def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Stretches of one document may overlap or touch. Characters count exactly as they stand. Null and short texts have
     none; a stretch repeated only inside one document is none; rows with the same id are one document; empty tables
     give no rows. span may be up to 1,000 and must exceed gear, a power of two.
+
+    The texts are hashed twice rather than stored: once for the cut points, combined before their shuffle, and once for
+    the chunks at cut points of several documents.
     """
     if not gear < span <= 1000:
         raise ValueError("gear < span <= 1000 is needed")
-    spark = docs.sparkSession
-    out = f"{shared_dir(spark)}/chunks-{docs.semanticHash() & 0xFFFFFFFF:08x}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-    chunk_rows(docs, id_col, text_col, span, gear).write.parquet(out, compression="zstd")
-    chunks = spark.read.parquet(out)
-
-    # one row per cut point, combined before the shuffle; those of one document end here
-    cuts = chunks.groupBy("cut").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("a < b")
-    met = chunks.join(cuts.select("cut", (F.col("x") != F.col("y")).alias("mixed")), "cut")
-    whole = met.where("not mixed").select("doc", _start(F.col("place")).alias("start"), (_start(F.col("place")) + _windows(F.col("place")) - 1 + span).alias("end"))
-
-    mixed = met.where("mixed")
-    kinds = mixed.groupBy("cut", "digest").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min(F.struct("doc", "place")).alias("one"))
-    many = kinds.where("a < b")
-    again = mixed.join(many.select("cut", "digest"), ["cut", "digest"], "left_semi")
-    whole = whole.unionByName(again.select("doc", _start(F.col("place")).alias("start"), (_start(F.col("place")) + _windows(F.col("place")) - 1 + span).alias("end")))
-
-    # chunks of one document at a cut point of several: all of them ask; of the others one copy answers
-    asked = mixed.join(many.select("cut", "digest"), ["cut", "digest"], "left_anti").select("doc", "cut", "place", F.lit(False).alias("many"))
-    answers = many.select("one.doc", "cut", "one.place", F.lit(True).alias("many"))
-    wanted = asked.unionByName(answers).groupBy("doc").agg(F.collect_list(F.struct("cut", "place", "many")).alias("wanted"))
+    cuts = chunk_rows(docs, id_col, text_col, span, gear, full=False).groupBy("cut").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("cut")
+    met = cut_lineage(chunk_rows(docs, id_col, text_col, span, gear, full=True).join(if_small(cuts), "cut"))
+
+    # digests of two documents are shared as a whole
+    kinds = met.groupBy("cut", "digest").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min(F.struct("doc", "place")).alias("one"))
+    many = cut_lineage(kinds.where("a < b").select("cut", "digest", "one"))
+    whole = _stretch(met.join(many, ["cut", "digest"], "left_semi"), span)
+
+    # the other chunks ask for each of their windows, if half of what a common window needs is alike in two documents;
+    # of each shared digest one copy answers
+    rest = met.join(many, ["cut", "digest"], "left_anti")
+    asked = []
+    for side in ("left", "right"):
+        alike = met.where(F.col(side).isNotNull()).groupBy("cut", side).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("cut", side)
+        asked.append(rest.join(alike, ["cut", side], "left_semi").select("doc", "cut", "place"))
+    asked = cut_lineage(asked[0].unionByName(asked[1]).distinct())
+    answers = many.join(asked.select("cut").distinct(), "cut", "left_semi").select("one.doc", "cut", "one.place", F.lit(True).alias("many"))
+    requests = cut_lineage(asked.withColumn("many", F.lit(False)).unionByName(answers))
+    wanted = requests.groupBy("doc").agg(F.collect_list(F.struct("cut", "place", "many")).alias("wanted"))
+    wanted = F.broadcast(wanted) if requests.count() <= SMALL_ROWS else wanted
     rows = docs.where(F.length(text_col) >= span).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc")
-    windows = rows.mapInArrow(_window_rows(span), f"doc {type_of(docs, id_col)}, key long, key2 long, at int, many boolean")
-    windows_out = f"{out}-windows"
-    windows.write.parquet(windows_out, compression="zstd")
-    windows = spark.read.parquet(windows_out)
+    windows = cut_lineage(rows.mapInArrow(_window_rows(span), f"doc {type_of(docs, id_col)}, key long, key2 long, at int, many boolean"))
     common = windows.groupBy("key", "key2").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("many").alias("m")).where("a < b or m").select("key", "key2")
     single = windows.where("not many").join(common, ["key", "key2"], "left_semi").select("doc", F.col("at").cast("long").alias("start"), (F.col("at") + span).cast("long").alias("end"))
     return whole.unionByName(single)
