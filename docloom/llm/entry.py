@@ -20,6 +20,8 @@ QUERIES = {
     "p4_clean": "repeated_lines",
     "p5_found": "token_budget",
     "p5_totals": "token_budget",
+    "p6_found": "scanned_pages",
+    "p6_text": "scanned_pages",
     "p7_found": "split_oversized",
     "p7_pieces": "split_oversized",
     "p8_ids": "encode",
