@@ -69,7 +69,7 @@ def shape(line: str) -> str:
     return " ".join(out)
 
 
-_PAGE = re.compile(r"^\W*?(?:(page|pg|p|seite|s|pagina|página|pag|pág)\b\.?\s*)?([0-9lI|oO]{1,5}|[ivxlc]{1,7})(?:\s*(?:/|\||of|von|de|sur|aus)\s*[0-9lI|oO]{1,5})?\W*$", re.IGNORECASE)
+_PAGE = re.compile(r"^\W*?(?:(page|pg|p|seite|s|pagina|página|pag|pág)\b\.?\s*)?([0-9lI|oO]{1,5}|[ivxlc]{1,7})(?:\s*(?:/|\||of|von|de|sur|aus)\s*([0-9lI|oO]{1,5}))?\W*$", re.IGNORECASE)
 _ROMAN = re.compile(r"m*(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 
 
@@ -86,8 +86,11 @@ def page_numbers(line: str) -> list[tuple[int, str]]:
     if not found:
         return []
     text, out = found.group(2), []
-    style = line.strip().lower().replace(" ", "")
-    style = re.sub(r"[0-9li|o]*[0-9][0-9li|o]*|\b[li|]\b|\b[ivxlc]+\b(?!\.)", "#", style)
+    style = list(line.strip().lower())
+    for k in (3, 2):
+        if found.group(k):
+            style[found.start(k) : found.end(k)] = "#"
+    style = "".join(style).replace(" ", "")
     plain = text.translate(_DIGITS)
     if plain.isdigit():
         out.append((int(plain), style))
