@@ -123,7 +123,7 @@ def _mark_numbers(pages: list[Page]) -> None:
                     groups[side, style, number - page.number].setdefault(k, (rank, i))
     for (side, style, offset), hits in sorted(groups.items(), key=lambda g: -len(g[1])):
         nearest = min(rank for rank, _ in hits.values())
-        if len(hits) >= 2 and len(hits) * 3 >= len(pages) or len(pages) <= 2 and nearest <= 1 and not style.endswith("roman") and offset >= 0:
+        if len(hits) >= 2 and len(hits) * 3 >= len(pages) or len(pages) <= 2 and nearest <= 1 and offset >= 0 and not (offset and style.endswith("roman")):
             for k, (_, i) in hits.items():
                 pages[k].kind[i] = "pageno"
 
