@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.scores import ratio
 from docloom.schemas import CONFLICT_TYPES
@@ -67,7 +68,11 @@ def first_object(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("block string, valid boolean, has_present boolean, present string, type string, type_is_text boolean, rationale string")
+_FLAGS = ("valid", "has_present", "type_is_text")
+_READ = ["block", "valid", "has_present", "present", "type", "type_is_text", "rationale"]
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.BooleanType() if n in _FLAGS else T.StringType()) for n in _READ]))
 def _read(texts: pd.Series) -> pd.DataFrame:
     """The first object of each text, and its fields as text (booleans and strings apart from the rest by `type` of JSON)."""
     rows = []
@@ -84,7 +89,7 @@ def _read(texts: pd.Series) -> pd.DataFrame:
         present, kind, why = obj.get("conflict_present"), obj.get("conflict_type"), obj.get("rationale")
         said = present.strip().lower() if isinstance(present, str) else str(present).lower() if isinstance(present, bool) else "?"
         rows.append((block, True, "conflict_present" in obj, said, None if kind is None else str(kind), isinstance(kind, str), None if why is None else why if isinstance(why, str) else str(why)))
-    return pd.DataFrame(rows, columns=["block", "valid", "has_present", "present", "type", "type_is_text", "rationale"])
+    return pd.DataFrame(rows, columns=_READ)
 
 
 def parse_replies(replies: DataFrame, *, text_col: str = "content", variant_col: str | None = None, variant: str = "A") -> DataFrame:

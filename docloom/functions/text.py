@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Single characters that extraction leaves behind, and what they stand for ('' removes).
 QUOTES_SINGLE, QUOTES_DOUBLE, DASHES, REMOVED = "‘’‚‛", "“”„‟", "–—−", "­"
@@ -26,7 +27,7 @@ def strip(column: Column | str) -> Column:
     return F.regexp_replace(column, r"(?U)^\s+|\s+\z", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 

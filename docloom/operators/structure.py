@@ -205,7 +205,7 @@ def parse_blocks(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     An unknown parser id means the generic one.
     """
     rows = texts.select(F.col(id_col), F.col(text_col).alias("_t"), (F.col(parser_col) if parser_col else F.lit(parser)).alias("_p"))
-    names = BLOCK.fieldNames()
+    names = [f.split()[0] for f in BLOCK.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +219,7 @@ def parse_blocks(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             types = {n: pa.int32() if n.startswith("page") else pa.string() for n in names}
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(no, pa.int32()), *(pa.array(out[n], types[n]) for n in names)], [id_col, "block_no", *names])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, block_no int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BLOCK.fields))
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, block_no int, {BLOCK}")
 
 
 def chunk_documents(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parser_col: str | None = None, parser: str = "generic", target: int = 200, most: int = 400) -> DataFrame:

@@ -82,11 +82,11 @@ def early_stop(epochs: DataFrame, by: list[str], *, order: str = "epoch", score:
     w = Window.partitionBy(*by).orderBy(order)
     before = F.max(score).over(w.rowsBetween(Window.unboundedPreceding, -1))
     better = epochs.withColumn("_up", before.isNull() | (F.col(score) > before))
-    since = better.withColumn("_last", F.max(F.when("_up", F.col(order))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    since = better.withColumn("_last", F.max(F.when(F.col("_up"), F.col(order))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     stop = since.withColumn("_stop", F.when(F.col(order) - F.col("_last") >= patience, F.col(order)))
     ended = stop.withColumn("_end", F.min("_stop").over(Window.partitionBy(*by)))
     lived = ended.where(F.col("_end").isNull() | (F.col(order) <= F.col("_end")))
-    return lived.groupBy(*by).agg(F.max(F.when("_up", F.col(order))).alias("best_epoch"), F.max(score).alias("best_score"), F.first("_end").alias("stopped_at"))
+    return lived.groupBy(*by).agg(F.max(F.when(F.col("_up"), F.col(order))).alias("best_epoch"), F.max(score).alias("best_score"), F.first("_end").alias("stopped_at"))
 
 
 def overfit(epochs: DataFrame) -> DataFrame:
