@@ -227,3 +227,11 @@ def shared_length(spans: DataFrame) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_length(shared_spans(table(spark, sf_dir, "documents"))).select(F.col("doc").alias("doc_id"), F.col("shared").alias("shared_chars"))
+
+
+SQL = {
+    "p10_found": """WITH w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+common AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM w SEMI JOIN common USING (h))
+SELECT doc_id, sum(least(200, coalesce(following - i, 200)))::INT AS shared_chars FROM hits GROUP BY doc_id"""
+}
