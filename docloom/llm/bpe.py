@@ -27,6 +27,9 @@ DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct pre-tokens a worker keeps; beyond it the memory is emptied and filled anew, results do not change.
 CACHE_TOKENS = 400_000
 
+#: Texts over this many characters are worked on in independent pieces, so that memory holds the pre-tokens of one.
+LONG_TEXT = 1 << 20
+
 
 def byte_alphabet() -> list[str]:
     """One printable character per byte: printable Latin-1 stands for itself, the others are shifted past U+0100."""
@@ -124,6 +127,10 @@ class ByteBpe:
 
     def encode_batch(self, texts: Iterable[str | None]) -> tuple[list[int], list[int]]:
         """(all ids in one list, number of ids per text); null and empty texts have none."""
+        texts = list(texts)
+        if any(t and len(t) > LONG_TEXT for t in texts):
+            each = [self._encode_long(t) if t and len(t) > LONG_TEXT else self.encode_batch([t])[0] for t in texts]
+            return list(itertools.chain.from_iterable(each)), list(map(len, each))
         parts = [pretokens(t) if t else [] for t in texts]
         self._learn(parts)
         get = self.ids.__getitem__
@@ -131,7 +138,18 @@ class ByteBpe:
         size = self.sizes.__getitem__
         return flat, [sum(map(size, p)) for p in parts]
 
+    def _encode_long(self, text: str) -> list[int]:
+        out: list[int] = []
+        for piece in independent_pieces(text, LONG_TEXT // 2):
+            parts = [pretokens(piece)]
+            self._learn(parts)
+            out.extend(itertools.chain.from_iterable(map(self.ids.__getitem__, parts[0])))
+        return out
+
     def count_batch(self, texts: Iterable[str | None]) -> list[int]:
+        texts = list(texts)
+        if any(t and len(t) > LONG_TEXT for t in texts):
+            return [len(self._encode_long(t)) if t and len(t) > LONG_TEXT else self.count_batch([t])[0] for t in texts]
         parts = [pretokens(t) if t else [] for t in texts]
         self._learn(parts)
         size = self.sizes.__getitem__

@@ -18,14 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.plans.runtime import cut_lineage, spread, table, type_of
+from docloom.plans.runtime import cut_lineage, portions, spread, table, type_of
 
 RUN, SHINGLE = 12, 5
 
 #: Bytes of item text in one block; every block is one pass over the documents and one broadcast of that size.
 BLOCK_BYTES = 8 << 20
 
-_WORDS = re.compile(r"\w+").findall
+#: Characters of text searched at once; a longer document is searched by itself, its words one after the other.
+LONG_TEXT = 1 << 21
+
+_WORD = re.compile(r"\w+")
+_WORDS = _WORD.findall
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,7 +90,7 @@ class ItemIndex:
         for t in texts:
             starts.append(len(flat))
             if t:
-                flat.extend([get(w, 0) for w in _WORDS(t.lower())])
+                flat.extend([get(w, 0) for w in _WORDS(t.lower())] if len(t) <= LONG_TEXT else (get(m.group(), 0) for m in _WORD.finditer(t.lower())))
             flat.append(0)  # a word of no item: no window goes beyond its document
         ids = np.array(flat, np.uint64)
         none = [np.zeros(0, np.int64)] * 3
@@ -140,10 +144,10 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id:
 
         def run_block(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    row, item, n = index.value.search(part.column(1).to_pylist())
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(n, pa.int32())], [doc_id, item_id, "windows"])
+                texts = batch.column(1).to_pylist()
+                for a, b in portions(texts, LONG_TEXT // 4):
+                    row, item, n = index.value.search(texts[a:b])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a, pa.int64())), pa.array(item, pa.int64()), pa.array(n, pa.int32())], [doc_id, item_id, "windows"])
 
         parts.append(source.mapInArrow(run_block, schema))
     if not parts:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.plans.runtime import SMALL_ROWS, cut_lineage, if_small, spread, table, type_of
+from docloom.plans.runtime import SMALL_ROWS, cut_lineage, if_small, portions, spread, table, type_of
 
 SPAN, GEAR = 200, 64
 
@@ -83,9 +83,11 @@ def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def chunk_texts(texts: list[str], span: int = SPAN, gear: int = GEAR) -> tuple[np.ndarray, ...]:
+def chunk_texts(texts: list[str], span: int = SPAN, gear: int = GEAR, own: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, ...]:
     """(index of the text, cut hash, digest, start, windows, windows before the cut, digest left, digest right, sides).
 
+    own: the first and the last window of each text to be chunked; all, if it is not given.
+
     The digests left and right are of the half = (span - gear) / 2 characters before and after the gear hash's own: a
     common window needs one of the two alike. Bit 1 of sides tells that the text has a left one, bit 2 a right one.
     """
@@ -97,7 +99,11 @@ def chunk_texts(texts: list[str], span: int = SPAN, gear: int = GEAR) -> tuple[n
     ranked = (_mix(rolled) >> bits << bits) | np.arange(len(rolled), dtype=np.uint64)
     cut = (_sliding_min(ranked, span - gear + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[: len(cut)]
-    inside = np.arange(span, span + len(cut)) <= hashed.ends[text]
+    begins, ends = np.concatenate(([0], hashed.ends[:-1])), hashed.ends - span
+    if own is not None:
+        begins, ends = begins + np.array([x for x, _ in own]), begins + np.array([x for _, x in own])
+    at_window = np.arange(len(cut))
+    inside = (at_window >= begins[text]) & (at_window <= ends[text])
     new = np.ones(len(cut), bool)
     new[1:] = (cut[1:] != cut[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
     first = np.flatnonzero(new & inside)
@@ -106,7 +112,7 @@ def chunk_texts(texts: list[str], span: int = SPAN, gear: int = GEAR) -> tuple[n
     owner = text[first]
     begin, end = np.concatenate(([0], hashed.ends[:-1]))[owner], hashed.ends[owner]
     # a chunk's windows end before the next chunk of the same text or with the text's last window
-    last = np.minimum(np.append(first[1:] - 1, len(cut)), end - span)
+    last = np.minimum(np.append(first[1:] - 1, len(cut)), ends[owner])
     n, at = last - first + 1, cut[first]
     lead, half = at - first, (span - gear) // 2
     digest = hashed.digests(first, last + span) + n.astype(np.uint64) * _BASE + lead.astype(np.uint64)
@@ -115,16 +121,13 @@ def chunk_texts(texts: list[str], span: int = SPAN, gear: int = GEAR) -> tuple[n
     return owner, rolled[at].view(np.int64), digest.view(np.int64), first - begin, n, lead, left.view(np.int64), right.view(np.int64), sides
 
 
-def _portions(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about `most` characters together."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _sections(text: str, span: int, most: int) -> Iterator[tuple[int, str, int, int]]:
+    """(origin, section, first window, last window) of a text: long ones in sections that see a span around their own."""
+    last = len(text) - span
+    for a in range(0, max(last, 0) + 1, most):
+        b = min(a + most - 1, last)
+        origin = max(0, a - span)
+        yield origin, text[origin : b + 2 * span], a - origin, b - origin
 
 
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str, span: int, gear: int, *, full: bool) -> DataFrame:
@@ -133,11 +136,13 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str, span: int, gear: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _portions(texts, BATCH_CHARS):
-                row, cut, digest, start, n, lead, left, right, sides = chunk_texts([t or "" for t in texts[a:b]], span, gear)
-                columns = {"doc": batch.column(0).take(pa.array(row + a, pa.int64())), "cut": pa.array(cut)}
+            sections = [(i, *x) for i, t in enumerate(batch.column(1).to_pylist()) for x in _sections(t, span, BATCH_CHARS)]
+            for a, b in portions([x[2] for x in sections], BATCH_CHARS):
+                part = sections[a:b]
+                row, cut, digest, start, n, lead, left, right, sides = chunk_texts([x[2] for x in part], span, gear, [x[3:] for x in part])
+                columns = {"doc": batch.column(0).take(pa.array([part[k][0] for k in row], pa.int64())), "cut": pa.array(cut)}
                 if full:
+                    start = start + np.array([x[1] for x in part], np.int64)[row] if len(row) else start
                     place = (start << 20) | (n << 10) | lead
                     columns |= {"digest": pa.array(digest), "place": pa.array(place), "left": pa.array(left, mask=sides & 1 == 0), "right": pa.array(right, mask=sides & 2 == 0)}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
@@ -196,19 +201,27 @@ def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def _window_rows(span: int):
+    """Every window of the wanted chunks, each hashed with no more of its text than the chunk covers."""
+
+    def rows(doc: pa.Array, text: str, wanted: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        cuts, places, many = (np.asarray(wanted.field(k).to_numpy(zero_copy_only=False)) for k in range(3))
+        starts, counts, leads = places >> 20, places >> 10 & 1023, places & 1023
+        for a, b in portions([text[s : s + n - 1 + span] for s, n in zip(starts, counts)], BATCH_CHARS):
+            n = counts[a:b]
+            pieces = [text[s : s + k - 1 + span] for s, k in zip(starts[a:b], n)]
+            hashed = Hashed(pieces)
+            which = np.repeat(np.arange(len(n)), n)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            inner = np.concatenate(([0], hashed.ends[:-1]))[which] + step
+            key = hashed.digests(inner, inner + span).view(np.int64)
+            key2 = cuts[a:b][which] + (leads[a:b][which] - step)  # the cut point and its distance from the window's start
+            columns = [doc.take(pa.array(np.zeros(len(which), np.int64))), pa.array(key), pa.array(key2), pa.array((starts[a:b][which] + step).astype(np.int32)), pa.array(many[a:b].astype(bool)[which])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "key2", "at", "many"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                text, wanted = batch.column(1)[i].as_py(), batch.column(2).slice(i, 1).flatten()
-                cut, place, many = (np.asarray(wanted.field(k).to_numpy(zero_copy_only=False)) for k in range(3))
-                n, lead = place >> 10 & 1023, place & 1023
-                which = np.repeat(np.arange(len(n)), n)
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = (place >> 20)[which] + step
-                key = Hashed([text]).digests(at, at + span).view(np.int64)
-                key2 = cut[which] + (lead[which] - step)  # the cut point and its distance from the window's start
-                columns = [batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64))), pa.array(key), pa.array(key2), pa.array(at.astype(np.int32)), pa.array(many.astype(bool)[which])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "key2", "at", "many"])
+                yield from rows(batch.column(0).slice(i, 1), batch.column(1)[i].as_py(), batch.column(2).slice(i, 1).flatten())
 
     return run
 
