@@ -147,7 +147,7 @@ def search(index: FmIndex, block: list[list[list[str]]], share: float = SHARE) -
     if not len(rec):
         return []
     # A record sharing `least` of all sequences shares `part` of the rarest size - least + part; absent ones are rarest.
-    part = np.maximum(1, (0.3 * sizes).astype(np.int64))
+    part = np.minimum(least, np.maximum(1, (0.3 * sizes).astype(np.int64)))
     taken = sizes - least + part - (sizes - have)
     begin = np.searchsorted(rec, rec)
     probe = np.arange(len(rec)) - begin < taken[rec]
