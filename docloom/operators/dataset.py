@@ -164,3 +164,63 @@ def hash_consistency(runs: DataFrame, index: DataFrame) -> DataFrame:
 def upsert(index: DataFrame, runs: DataFrame, key: str = "key") -> DataFrame:
     """The index with the runs' rows in place of those of the same key."""
     return index.join(runs.select(key), key, "left_anti").unionByName(runs)
+
+
+def ordered_subset(rows: DataFrame, key: str, wanted: list[str], *, order: str = "record_no") -> DataFrame:
+    """The last row of each wanted key with its place in the list, in the list's order; missing keys are an error."""
+    asked = rows.sparkSession.createDataFrame([(k, i) for i, k in enumerate(wanted)], f"`{key}` string, place int")
+    held = rows.where(F.col(key).isin(wanted)).groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != key)), order).alias("r"))
+    found = asked.join(held, key, "left")
+    missing = [r[0] for r in found.where("r is null").select(key).collect()]
+    if missing:
+        raise KeyError(f"not found: {missing}")
+    return found.select("place", key, "r.*").orderBy("place")
+
+
+def hash_sample(rows: DataFrame, n: int, *, id_col: str, seed: int = 42) -> DataFrame:
+    """n rows drawn without replacement: those of the smallest md5(seed|id)."""
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))), id_col).limit(n)
+
+
+def path_problems(rows: DataFrame, path: str, withheld: list[str]) -> DataFrame:
+    """(path, problem): absolute paths, and paths through a withheld source (a part of that name, or beginning so if it
+    ends in '-')."""
+    parts = F.split(F.col(path), "/")
+    names, beginnings = [w for w in withheld if not w.endswith("-")], [w for w in withheld if w.endswith("-")]
+
+    def inside(part: Column) -> Column:
+        test = part.isin(names)
+        for beginning in beginnings:
+            test = test | part.startswith(beginning)
+        return test
+
+    hit = F.exists(parts, inside)
+    found = F.array_compact(F.array(F.when(F.col(path).startswith("/"), "absolute path"), F.when(hit, "withheld source")))
+    return rows.select(F.col(path).alias("path"), F.explode(found).alias("problem")).distinct()
+
+
+def side_by_side(gold: DataFrame, predictions: DataFrame, systems: list[str]) -> DataFrame:
+    """One row per gold row, one column per system: what it says, '?' where it says nothing."""
+    said = F.when(F.col("y_pred").isNull(), "?").when(F.col("y_pred"), F.coalesce("t_pred", F.lit("conflict"))).otherwise("non_conflict")
+    wide = predictions.groupBy("pair_id").agg(*(F.max(F.when(F.col("system") == s, said)).alias(s) for s in systems))
+    truth = F.when(F.col("y_true"), F.coalesce("t_true", F.lit("conflict"))).otherwise("non_conflict")
+    return gold.join(wide, "pair_id", "left").select("ord", "pair_id", truth.alias("truth"), *(F.coalesce(s, F.lit("?")).alias(s) for s in systems))
+
+
+def record_samples(records: DataFrame) -> DataFrame:
+    """What a reader looks at: ids, jurisdictions, the rationale's first 250 and every passage's first 180 characters."""
+    cut = lambda e: F.transform(F.coalesce(F.col(e), F.array().cast("array<struct<chunk_id:string,source_doc:string,page:int,passage:string>>")), lambda x: F.substring(x["passage"], 1, 180))
+    return records.select("record_no", "pair_id", F.col("regime_a.jurisdiction").alias("a"), F.col("regime_b.jurisdiction").alias("b"), F.substring("rationale", 1, 250).alias("rationale"), F.array_join(F.array_compact(F.concat(cut("evidence_a"), cut("evidence_b"))), "\n").alias("passages"))
+
+
+def fetch_targets(manifest: DataFrame) -> DataFrame:
+    """(sha256, filename, target): '.pdf' is added unless the title ends in .pdf, .html or .htm; the target folder is the
+    first eight digits of the hash."""
+    title = F.coalesce(F.nullif(T.strip("document_title"), F.lit("")), F.lit("untitled"))
+    name = F.when(F.lower(title).rlike(r"\.(pdf|html|htm)$"), title).otherwise(F.concat(title, F.lit(".pdf")))
+    return manifest.select("sha256", name.alias("filename"), F.concat_ws("/", F.substring("sha256", 1, 8), name).alias("target"))
+
+
+def model_fingerprints(predictions: DataFrame) -> DataFrame:
+    """(system, config_hash): the same constant metadata for every row of a system, as a digest of its fields."""
+    return predictions.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.count_if("y_pred").alias("n_conflict")).select("system", F.substring(F.sha2(F.concat_ws("|", "system", F.col("n").cast("string"), F.col("n_conflict").cast("string")), 256), 1, 16).alias("fingerprint"))

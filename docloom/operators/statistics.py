@@ -133,25 +133,27 @@ def kappa_interval(pairs: DataFrame, *, replicates: int = 1000, seed: int = 42)
     return intervals(value, [])
 
 
-def paired_bootstrap(paired: DataFrame, *, replicates: int = 1000, seed: int = 42, centre: str = "mean") -> DataFrame:
+def paired_bootstrap(paired: DataFrame, *, a: list[str] = ["y_a"], b: list[str] = ["y_b"], replicates: int = 1000, seed: int = 42, centre: str = "mean") -> DataFrame:
     """One row: F1 of A and B and their difference with intervals, and the two-sided p of the difference.
 
-    paired (y_true, y_a, y_b) holds both systems' predictions per row: both see the same draws. p is the share of
-    replicates whose distance from the centre (their mean, or the observed difference) reaches the centre's size.
+    paired holds y_true and, in columns a and b, what the draws of either system predict for each row; a system's F1 is
+    the mean over its draws. Both see the same resamples. p is the share of replicates whose distance from the centre
+    (their mean, or the observed difference) reaches the centre's size.
     """
-    def f1_of(name: str, w: Column | None = None) -> Column:
-        c = scores.cells(w, p=name)
-        return scores.f1(c["tp"], c["fp"], c["fn"])
-
-    cell = ["y_true", "y_a", "y_b"]
+    def mean_f1(names: list[str], w: Column | None = None) -> Column:
+        each = []
+        for name in names:
+            c = scores.cells(w, p=name)
+            each.append(scores.f1(c["tp"], c["fp"], c["fn"]))
+        return sum(each[1:], each[0]) / len(each)
+
+    cell = ["y_true", *a, *b]
     drawn = resample(paired, cell, order=cell, replicates=replicates, seed=seed)
-    each = drawn.groupBy("b").agg(f1_of("y_a", F.col("w")).alias("a"), f1_of("y_b", F.col("w")).alias("c")).select("a", "c", (F.col("a") - F.col("c")).alias("d"))
-    seen = paired.agg((f1_of("y_a") - f1_of("y_b")).alias("observed"))
-    mid = each.agg(F.avg("d").alias("mean_d")).crossJoin(seen)  # one row each
-    at = F.col("mean_d") if centre == "mean" else F.col("observed")
+    each = drawn.groupBy("b").agg(mean_f1(a, F.col("w")).alias("_a"), mean_f1(b, F.col("w")).alias("_c")).select("_a", "_c", (F.col("_a") - F.col("_c")).alias("d"))
+    seen = paired.agg((mean_f1(a) - mean_f1(b)).alias("observed")).first()["observed"]
+    at = F.lit(seen) if centre == "observed" else F.lit(each.agg(F.avg("d")).first()[0])
     r = lambda x, n: F.round(x, 9).alias(n)
-    out = each.crossJoin(F.broadcast(mid)).agg(
-        r(F.avg("a"), "f1_a"), r(F.avg("c"), "f1_b"), r(F.first("observed"), "observed"), r(F.avg("d"), "mean_difference"),
-        r(F.percentile("d", F.lit(0.025)), "low"), r(F.percentile("d", F.lit(0.975)), "high"),
+    out = each.agg(
+        r(F.avg("_a"), "f1_a"), r(F.avg("_c"), "f1_b"), r(F.lit(seen), "observed"), r(F.avg("d"), "mean_difference"), r(F.percentile("d", F.lit(0.025)), "low"), r(F.percentile("d", F.lit(0.975)), "high"),
         r(F.avg((F.abs(F.col("d") - at) >= F.abs(at)).cast("double")), "p_value"), F.count(F.lit(1)).alias("n"))
     return out.withColumn("p_text", F.when(F.col("p_value") == 0, F.concat(F.lit("< "), (1 / F.col("n")).cast("string"))).otherwise(F.col("p_value").cast("string")))

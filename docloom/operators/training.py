@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.schemas import CONFLICT_TYPES
+
 JOINT_BUDGET = 509
 
 
@@ -108,3 +110,33 @@ def softmax_confidence(logits: str) -> Column:
 
 def argmax(values: str) -> Column:
     return F.array_position(values, F.array_max(values)) - 1
+
+
+def build_example(a: list[list[int]], b: list[list[int]], *, cls: int, sep: int, budget: int = JOINT_BUDGET) -> tuple[list[int], list[int]]:
+    """(token ids, segment ids) of [CLS] A [SEP] B [SEP] under the joint budget."""
+    used_a, used_b, n_a, n_b, *_ = joint_pack([len(x) for x in a], [len(x) for x in b], budget)
+    left, right = sum(a[:used_a], [])[:n_a], sum(b[:used_b], [])[:n_b]
+    return [cls, *left, sep, *right, sep], [0] * (len(left) + 2) + [1] * (len(right) + 1)
+
+
+def encoder_examples(records: DataFrame, encode: Callable[[str], list[int]], *, cls: int = 1, sep: int = 2, id_col: str = "record_no", budget: int = JOINT_BUDGET) -> DataFrame:
+    """(id_col, input_ids, token_type_ids, binary_label, typology_label) per record; the type's label is -100 where there
+    is no conflict or its type is none of the four."""
+    kinds = F.array(*map(F.lit, CONFLICT_TYPES))
+    y = F.coalesce(F.col("record_type") == "conflict", F.lit(False))
+    at = F.array_position(kinds, F.coalesce("conflict_type", F.lit("")))
+    rows = records.select(id_col, y.cast("int").alias("binary_label"), F.when(y & (at > 0), (at - 1).cast("int")).otherwise(-100).alias("typology_label"), *(F.expr(f"filter(transform(evidence_{s}, x -> trim(x.passage)), x -> x <> '')").alias(s) for s in "ab"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [build_example([encode(t) for t in a or []], [encode(t) for t in b or []], cls=cls, sep=sep, budget=budget) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            ids, types = ([m[k] for m in made] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(types, pa.list_(pa.int32())), batch.column(1), batch.column(2)], [id_col, "input_ids", "token_type_ids", "binary_label", "typology_label"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, input_ids array<int>, token_type_ids array<int>, binary_label int, typology_label int")
+
+
+def pad(ids: list[list[int]], filler: int) -> tuple[list[list[int]], list[list[int]]]:
+    """(padded ids, attention masks) of a batch, filled on the right to its longest."""
+    most = max(map(len, ids), default=0)
+    return [x + [filler] * (most - len(x)) for x in ids], [[1] * len(x) + [0] * (most - len(x)) for x in ids]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import replies
 from docloom.functions import text as T
-from docloom.operators import alignment, dataset, evaluation, ingestion, predictors, statistics, structure, training
+from docloom.operators import alignment, dataset, evaluation, ingestion, predictors, statistics, structure, training, vectors
 from docloom.plans import views as V
 from docloom.plans.runtime import table
 from docloom.streaming import incremental
@@ -340,6 +340,25 @@ def paired_bootstrap_observed(spark, d):
     return statistics.paired_bootstrap(_paired(spark, d), replicates=REPLICATES, centre="observed").drop("p_text")
 
 
+_DRAWS = {"a": ["s0", "s1"], "b": ["s2", "s3", "s4"]}
+
+
+def _mean_f1(names: list[str], w: str) -> str:
+    return "(" + " + ".join(_f1_of(f"y_{n}", w) for n in names) + f") / {len(names)}"
+
+
+@query(f"""WITH {_LAST}, paired AS (SELECT y_true, {', '.join(f"coalesce(max(l.y_pred::INT) FILTER (l.system = '{s}'), 0) = 1 AS y_{s}" for s in SIX)} FROM gold LEFT JOIN last l USING (pair_id) GROUP BY gold.ord, y_true),
+{_draws('paired', ['y_true'] + [f'y_{s}' for s in SIX])}, each AS (SELECT rep, {_mean_f1(_DRAWS['a'], 'w')} AS a, {_mean_f1(_DRAWS['b'], 'w')} AS c FROM drawn GROUP BY rep), diff AS (SELECT a, c, a - c AS d FROM each),
+mid AS (SELECT {_mean_f1(_DRAWS['a'], '1')} - {_mean_f1(_DRAWS['b'], '1')} AS mid_d FROM paired) SELECT round(avg(a), 9) AS f1_a, round(avg(c), 9) AS f1_b, round((SELECT mid_d FROM mid), 9) AS observed, round(avg(d), 9) AS mean_difference,
+ round(quantile_cont(d, 0.025), 9) AS low, round(quantile_cont(d, 0.975), 9) AS high, round(avg((abs(d - (SELECT mid_d FROM mid)) >= abs((SELECT mid_d FROM mid)))::INT), 9) AS p_value, count(*) AS n FROM diff""")
+def paired_bootstrap_draws(spark, d):
+    """Two systems with several draws each, compared by their mean F1."""
+    last = alignment.last_predictions(V.predictions(spark, d, SIX), by=["system"])
+    wide = last.groupBy("pair_id").agg(*(F.max(F.when(F.col("system") == s, F.col("y_pred"))).alias(f"y_{s}") for s in SIX))
+    paired = V.gold(spark, d).join(wide, "pair_id", "left").select("y_true", *(F.coalesce(f"y_{s}", F.lit(False)).alias(f"y_{s}") for s in SIX))
+    return statistics.paired_bootstrap(paired, a=[f"y_{s}" for s in _DRAWS["a"]], b=[f"y_{s}" for s in _DRAWS["b"]], replicates=REPLICATES, centre="observed").drop("p_text")
+
+
 # -- dataset tooling ---------------------------------------------------------------------------------------------------
 
 _SPLIT = """st AS (SELECT record_no, CASE WHEN record_type = 'conflict' THEN 'conflict::' || coalesce(nullif(conflict_type, ''), 'conflict_unknown') ELSE 'non_conflict' END AS stratum FROM labelled_pairs),
@@ -627,3 +646,58 @@ def event_windows(spark, d):
     """Beyond the reference: windowed counts, the same operator for tables and streams."""
     counts = incremental.windowed_counts(table(spark, d, "events"), keys=["event_type"])
     return counts.withColumn("total", F.round("total", 4))
+
+
+@query("SELECT (row_number() OVER (ORDER BY pair_id) - 1)::INT AS place, pair_id, record_no FROM (SELECT pair_id, max(record_no) AS record_no FROM labelled_pairs WHERE pair_id IS NOT NULL GROUP BY pair_id ORDER BY pair_id LIMIT 20)")
+def smoke_subset(spark, d):
+    """The first twenty pair_ids, asked for by list."""
+    rows = V.records(spark, d).where("pair_id is not null")
+    wanted = [r[0] for r in rows.select("pair_id").distinct().orderBy("pair_id").limit(20).collect()]
+    return dataset.ordered_subset(rows.select("pair_id", "record_no"), "pair_id", wanted)
+
+
+@query("SELECT record_no, split FROM labelled_pairs WHERE split = 'train' ORDER BY md5('42|' || record_no::VARCHAR), record_no LIMIT 50")
+def hash_sample(spark, d):
+    """A sampling operator: fifty training records."""
+    return dataset.hash_sample(V.records(spark, d).where("split = 'train'").select("record_no", "split"), 50, id_col="record_no")
+
+
+@query("""SELECT * FROM (SELECT DISTINCT source_path AS path, unnest([CASE WHEN source_path LIKE '/%' THEN 'absolute path' END, CASE WHEN list_contains(string_split(source_path, '/'), 'ATRO') OR len(list_filter(string_split(source_path, '/'), lambda p: starts_with(p, 'SGMB-'))) > 0 THEN 'withheld source' END]) AS problem FROM chunks)
+WHERE problem IS NOT NULL""")
+def path_problems(spark, d):
+    return dataset.path_problems(table(spark, d, "chunks"), "source_path", ["ATRO", "SGMB-"])
+
+
+_SAID = "CASE WHEN l.y_pred THEN coalesce(l.t_pred, 'conflict') ELSE 'non_conflict' END"
+
+
+@query(f"WITH {_LAST} SELECT gold.ord, pair_id, CASE WHEN y_true THEN coalesce(t_true, 'conflict') ELSE 'non_conflict' END AS truth, " + ", ".join(f"coalesce(max({_SAID}) FILTER (l.system = '{s}'), '?') AS {s}" for s in SIX) + " FROM gold LEFT JOIN last l USING (pair_id) GROUP BY gold.ord, pair_id, truth")
+def side_by_side(spark, d):
+    return dataset.side_by_side(V.gold(spark, d), alignment.last_predictions(V.predictions(spark, d, SIX), by=["system"]), SIX)
+
+
+@query("SELECT record_no, pair_id, regime_a.jurisdiction AS a, regime_b.jurisdiction AS b, substr(rationale, 1, 250) AS rationale, array_to_string(list_transform(list_concat(coalesce(evidence_a, []), coalesce(evidence_b, [])), lambda x: substr(x.passage, 1, 180)), chr(10)) AS passages FROM labelled_pairs")
+def record_samples(spark, d):
+    return dataset.record_samples(V.records(spark, d))
+
+
+@query(r"WITH t AS (SELECT sha256, coalesce(nullif(trim(document_title), ''), 'untitled') AS t FROM inventory), n AS (SELECT sha256, CASE WHEN regexp_matches(lower(t), '\.(pdf|html|htm)$') THEN t ELSE t || '.pdf' END AS filename FROM t) SELECT sha256, filename, coalesce(substr(sha256, 1, 8) || '/', '') || filename AS target FROM n")
+def fetch_targets(spark, d):
+    return dataset.fetch_targets(table(spark, d, "inventory"))
+
+
+@query(f"WITH {_LAST}, n AS (SELECT system, count(*) AS n, count(*) FILTER (y_pred) AS k FROM last GROUP BY system) SELECT system, substr(sha256(system || '|' || n::VARCHAR || '|' || k::VARCHAR), 1, 16) AS fingerprint FROM n")
+def model_fingerprints(spark, d):
+    return dataset.model_fingerprints(alignment.last_predictions(V.predictions(spark, d, SIX), by=["system"]))
+
+
+@query()
+def encoder_examples(spark, d):
+    return training.encoder_examples(V.records(spark, d), lambda text: [3 + len(w) for w in text.split()])
+
+
+@query("SELECT q.vec_id AS query_id, r.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS cosine FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 AND list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) >= 0.25")
+def near_vectors(spark, d):
+    """Queries are the vectors whose id is divisible by 50, searched against all; the test vectors are far apart, hence 0.25."""
+    rows = table(spark, d, "embeddings")
+    return vectors.near_vectors(rows, rows.where(F.col("vec_id") % 50 == 0), least=0.25).withColumn("cosine", F.round("cosine", 6))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import replies, scores
 from docloom.functions import text as T
-from docloom.operators import alignment, dataset, evaluation, ingestion, predictors, statistics, structure, training
+from docloom.operators import alignment, dataset, evaluation, ingestion, predictors, statistics, structure, training, vectors
 from docloom.schemas import CONFLICT_TYPES, LABELLED_PAIR
 
 ROWS = "ord long, pair_id string, y_true boolean, t_true string, jurisdictions string, rationale string, y_pred boolean, t_pred string, conf double"
@@ -352,3 +352,43 @@ def test_overfit_alarm_and_softmax(spark):
     assert [r["epoch"] for r in training.overfit(df).collect()] == [3]
     got = spark.createDataFrame([([0.0, 0.0],), ([0.0, 3.0],)], "x array<double>").select(training.softmax_confidence("x"), training.argmax("x")).collect()
     assert got[0][0] == 0.5 and got[1][1] == 1
+
+
+def test_encoder_examples(spark):
+    ids, types = training.build_example([[5, 6], [7]], [[8]], cls=1, sep=2)
+    assert ids == [1, 5, 6, 7, 2, 8, 2] and types == [0, 0, 0, 0, 0, 1, 1]
+    assert training.build_example([[9] * 600], [], cls=1, sep=2)[0] == [1] + [9] * 254 + [2, 2]
+    assert training.pad([[1], [1, 2]], 0) == ([[1, 0], [1, 2]], [[1, 0], [1, 1]])
+    assert training.pad([], 0) == ([], [])
+    rows = [{"pair_id": "a", "record_type": "conflict", "conflict_type": C, "evidence_a": [{"passage": "x y"}, {"passage": " "}]}, {"record_type": "non_conflict", "conflict_type": C}, {"record_type": "conflict", "conflict_type": "odd"}]
+    got = training.encoder_examples(records(spark, rows), lambda t: [9] * len(t.split())).orderBy("record_no").collect()
+    assert [(r["binary_label"], r["typology_label"]) for r in got] == [(1, 2), (0, -100), (1, -100)] and list(got[0]["input_ids"]) == [1, 9, 9, 2, 2]
+
+
+@pytest.mark.parametrize("block", [100, 2])
+def test_near_vectors(spark, block):
+    rng = random.Random(1)
+    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(i, v) for i, v in enumerate(base)] + [(i + 20, [2 * x + rng.gauss(0, 0.1) for x in v]) for i, v in enumerate(base)] + [(50, None), (51, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.dist(a, [0] * 8) / math.dist(b, [0] * 8)
+    want = {(i, j) for (i, a) in rows[:24] for (j, b) in rows[:24] if i % 2 == 0 and i != j and cos(a, b) >= 0.9}
+    got = {(r["query_id"], r["id"]) for r in vectors.near_vectors(df, df.where("vec_id % 2 = 0"), block_rows=block).collect()}
+    assert got == want and want
+    assert vectors.near_vectors(df, df.limit(0)).collect() == []
+
+
+def test_paths_and_subsets(spark):
+    df = spark.createDataFrame([("/a/b", 1), ("x/ATRO/y", 2), ("x/SGMB-Q/y", 3), ("x/ATROX/y", 4), (None, 5)], "source_path string, record_no long")
+    got = sorted(tuple(r) for r in dataset.path_problems(df, "source_path", ["ATRO", "SGMB-"]).collect())
+    assert got == [("/a/b", "absolute path"), ("x/ATRO/y", "withheld source"), ("x/SGMB-Q/y", "withheld source")]
+    picked = dataset.ordered_subset(df, "source_path", ["x/ATROX/y", "/a/b"]).collect()
+    assert [(r["place"], r["record_no"]) for r in picked] == [(0, 4), (1, 1)]
+    with pytest.raises(KeyError, match="nothing"):
+        dataset.ordered_subset(df, "source_path", ["nothing"])
+    assert [r["record_no"] for r in dataset.hash_sample(df, 2, id_col="record_no").collect()] == [r["record_no"] for r in dataset.hash_sample(df, 2, id_col="record_no").collect()]
+
+
+def test_release_paths_and_targets(spark):
+    df = spark.createDataFrame([("ab" * 32, " Doc "), ("cd" * 32, "x.HTML"), ("ef" * 32, None)], "sha256 string, document_title string")
+    assert [r["target"] for r in dataset.fetch_targets(df).orderBy("sha256").collect()] == ["abababab/Doc.pdf", "cdcdcdcd/x.HTML", "efefefef/untitled.pdf"]
