@@ -78,7 +78,7 @@ def test_p7(spark, reference):
         assert all(p["n_tokens"] == len(reference(p["piece"])) <= 400 for p in own)
         for before, p in zip(own, own[1:]):
             shared = p["piece"][: p["shared_chars"]]
-            assert before["piece"].endswith(shared) and 38 <= len(reference(shared)) <= 42
+            assert before["piece"].endswith(shared) and (38 <= len(reference(shared)) <= 42 or shared == before["piece"])
 
 
 def test_p2_splits_keep_groups_and_proportions(spark):
