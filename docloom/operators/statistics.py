@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import scores
+from docloom.plans.runtime import cut_lineage
 from docloom.schemas import CONFLICT_TYPES
 
 EXACT_ROWS = 1_000_000
@@ -60,15 +61,24 @@ def kappa_confusion(pairs: DataFrame) -> DataFrame:
     return pairs.agg(cells.alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
+def cell_counts(rows: DataFrame, cell: list[str]) -> DataFrame:
+    """(cell..., n): the distinct cells with their sizes, as a table of its own; their combinations must be few."""
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in cell) + ", n long"
+    return rows.sparkSession.createDataFrame(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).collect(), schema)
+
+
 def resample(rows: DataFrame, cell: list[str], *, order: list[str], replicates: int, seed: int = 42, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """(b, cell..., w): how often replicate b drew a row of each cell; n draws with replacement per replicate.
 
+    rows may also be the cell_counts already.
+
     cell columns must have few distinct values together (their combinations are collected). The draw of slot j in
     replicate b is md5(seed|b|j) modulo n, an index into the cells in their order. All metrics over the result share
     the same draws. No rows give no replicates.
     """
     spark = rows.sparkSession
-    counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).orderBy(*(F.asc_nulls_first(c) for c in order)).collect()
+    sizes = rows if "n" in rows.columns else cell_counts(rows, cell)
+    counts = sizes.orderBy(*(F.asc_nulls_first(c) for c in order)).collect()
     total = sum(r["n"] for r in counts)
     bounds, ends = [], 0
     for r in counts:
@@ -148,9 +158,11 @@ def paired_bootstrap(paired: DataFrame, *, a: list[str] = ["y_a"], b: list[str]
         return sum(each[1:], each[0]) / len(each)
 
     cell = ["y_true", *a, *b]
-    drawn = resample(paired, cell, order=cell, replicates=replicates, seed=seed)
+    sizes = cell_counts(paired, cell)
+    drawn = resample(sizes, cell, order=cell, replicates=replicates, seed=seed)
     each = drawn.groupBy("b").agg(mean_f1(a, F.col("w")).alias("_a"), mean_f1(b, F.col("w")).alias("_c")).select("_a", "_c", (F.col("_a") - F.col("_c")).alias("d"))
-    seen = paired.agg((mean_f1(a) - mean_f1(b)).alias("observed")).first()["observed"]
+    each = cut_lineage(each)  # one row per replicate
+    seen = sizes.agg((mean_f1(a, F.col("n")) - mean_f1(b, F.col("n"))).alias("observed")).first()["observed"]
     at = F.lit(seen) if centre == "observed" else F.lit(each.agg(F.avg("d")).first()[0])
     r = lambda x, n: F.round(x, 9).alias(n)
     out = each.agg(
