@@ -7,8 +7,8 @@ characters around them: insertions elsewhere move chunks but do not change them.
 
 * a cut point of one document only ends there;
 * a digest in two documents: all its windows are shared;
-* chunks that differ at a cut point of several documents (the edges of a copied passage): their windows are compared one
-  by one, where enough around the cut point is alike.
+* chunks that differ at a cut point of several documents (the edges of a copied passage): their windows are compared in
+  ever smaller blocks, where enough around the cut point is alike.
 """
 
 from __future__ import annotations
@@ -155,10 +155,14 @@ def _start(place: F.Column) -> F.Column:
     return F.shiftright(place, 20)
 
 
+def _windows(place: F.Column) -> F.Column:
+    return F.shiftright(place, 10).bitwiseAND(F.lit(1023))
+
+
 def _stretch(rows: DataFrame, span: int) -> DataFrame:
     """(doc, start, end) of whole chunks."""
     place = F.col("place")
-    return rows.select("doc", _start(place).alias("start"), (_start(place) + F.shiftright(place, 10).bitwiseAND(F.lit(1023)) - 1 + span).alias("end"))
+    return rows.select("doc", _start(place).alias("start"), (_start(place) + _windows(place) - 1 + span).alias("end"))
 
 
 def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gear: int = GEAR) -> DataFrame:
@@ -181,8 +185,8 @@ def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     many = cut_lineage(kinds.where("a < b").select("cut", "digest", "one"))
     whole = _stretch(met.join(many, ["cut", "digest"], "left_semi"), span)
 
-    # the other chunks ask for each of their windows, if half of what a common window needs is alike in two documents;
-    # of each shared digest one copy answers
+    # the other chunks ask for their windows, if half of what a common window needs is alike in two documents; of each
+    # shared digest one copy answers
     rest = met.join(many, ["cut", "digest"], "left_anti")
     asked = []
     for side in ("left", "right"):
@@ -193,37 +197,53 @@ def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     requests = cut_lineage(asked.withColumn("many", F.lit(False)).unionByName(answers))
     wanted = requests.groupBy("doc").agg(F.collect_list(F.struct("cut", "place", "many")).alias("wanted"))
     wanted = F.broadcast(wanted) if requests.count() <= SMALL_ROWS else wanted
-    rows = docs.where(F.length(text_col) >= span).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc")
-    windows = cut_lineage(rows.mapInArrow(_window_rows(span), f"doc {type_of(docs, id_col)}, key long, key2 long, at int, many boolean"))
-    common = windows.groupBy("key", "key2").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("many").alias("m")).where("a < b or m").select("key", "key2")
-    single = windows.where("not many").join(common, ["key", "key2"], "left_semi").select("doc", F.col("at").cast("long").alias("start"), (F.col("at") + span).cast("long").alias("end"))
-    return whole.unionByName(single)
-
-
-def _window_rows(span: int):
-    """Every window of the wanted chunks, each hashed with no more of its text than the chunk covers."""
-
-    def rows(doc: pa.Array, text: str, wanted: pa.StructArray) -> Iterator[pa.RecordBatch]:
-        cuts, places, many = (np.asarray(wanted.field(k).to_numpy(zero_copy_only=False)) for k in range(3))
-        starts, counts, leads = places >> 20, places >> 10 & 1023, places & 1023
-        for a, b in portions([text[s : s + n - 1 + span] for s, n in zip(starts, counts)], BATCH_CHARS):
-            n = counts[a:b]
-            pieces = [text[s : s + k - 1 + span] for s, k in zip(starts[a:b], n)]
-            hashed = Hashed(pieces)
-            which = np.repeat(np.arange(len(n)), n)
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            inner = np.concatenate(([0], hashed.ends[:-1]))[which] + step
-            key = hashed.digests(inner, inner + span).view(np.int64)
-            key2 = cuts[a:b][which] + (leads[a:b][which] - step)  # the cut point and its distance from the window's start
-            columns = [doc.take(pa.array(np.zeros(len(which), np.int64))), pa.array(key), pa.array(key2), pa.array((starts[a:b][which] + step).astype(np.int32)), pa.array(many[a:b].astype(bool)[which])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "key2", "at", "many"])
+    place = F.col("w.place")
+    chunks = docs.where(F.length(text_col) >= span).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc").select("doc", "text", F.explode("wanted").alias("w"))
+    chunks = chunks.select("doc", "w.cut", "w.many", _start(place).alias("start"), _windows(place).alias("n"), place.bitwiseAND(F.lit(1023)).alias("lead"), "text")
+    chunks = cut_lineage(chunks.withColumn("text", F.substring("text", F.col("start") + 1, F.col("n") - 1 + span)))
+    return whole.unionByName(_compared(chunks, span, gear))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield from rows(batch.column(0).slice(i, 1), batch.column(1)[i].as_py(), batch.column(2).slice(i, 1).flatten())
 
-    return run
+def _compared(chunks: DataFrame, span: int, gear: int) -> DataFrame:
+    """(doc, start, end) of the stretches of asking chunks that also occur in another document's chunk.
+
+    A window is named by the distance from its start to the cut point. Blocks of 64, then 8, then 1 windows are compared:
+    what all windows of a block have in common (its core) must occur in two documents, else the block is done with; if all
+    of its text does, all its windows are shared. Only blocks between the two go on, cut finer; shared ones go on with one
+    copy that answers the others.
+    """
+    steps = [s for s in (64, 8, 1) if s == 1 or s <= (span - gear + 1) // 2]
+    lead, low = F.col("lead"), F.col("lead") - F.col("n") + 1
+    blocks = F.transform(F.sequence(F.floor(low / steps[0]), F.floor(lead / steps[0])), lambda k: F.struct(k.alias("k"), F.col("many").alias("many")))
+    rows, found = chunks.withColumn("own", blocks), []
+    for size, finer in zip(steps, [*steps[1:], None]):
+        each = rows.select("doc", "cut", "start", "n", "lead", "text", F.explode("own").alias("o")).select("doc", "cut", "start", "n", "lead", "text", "o.k", "o.many")
+        first, last = F.col("k") * size, F.col("k") * size + size - 1
+        a, b = F.greatest(first, low), F.least(last, lead)
+        core = F.xxhash64(F.substring("text", lead - first + 1, F.lit(span - size + 1)))
+        full = F.when((a == first) & (b == last), F.xxhash64(F.substring("text", lead - last + 1, F.lit(span + size - 1))))
+        pieces = cut_lineage(each.select("doc", "cut", "start", "k", "many", core.alias("core"), full.alias("full"), (F.col("start") + lead - b).alias("from"), (F.col("start") + lead - a + span).alias("end")))
+        two = lambda by: pieces.groupBy("cut", "k", by).agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.max("many").alias("m"), F.min("many").alias("all_many"))
+        alive = two("core").where("not all_many and (x < y or m)").select("cut", "k", "core")
+        live = pieces.join(alive, ["cut", "k", "core"], "left_semi")
+        if finer is None:
+            found.append(live.where("not many"))
+            break
+        live = cut_lineage(live)
+        shared = live.where("full is not null").groupBy("cut", "k", "full").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.max("many").alias("m"), F.min(F.struct("doc", "start")).alias("one")).where("x < y or m")
+        shared = cut_lineage(shared.select("cut", "k", "full", "one"))
+        found.append(live.where("not many").join(shared.select("cut", "k", "full"), ["cut", "k", "full"], "left_semi"))
+        open_ = live.join(shared.select("cut", "k", "full"), ["cut", "k", "full"], "left_anti").select("doc", "start", "k", "many")
+        onward = open_.unionByName(shared.select("one.doc", "one.start", "k", F.lit(True).alias("many")))
+        children = F.flatten(F.collect_list(F.transform(F.sequence(F.col("k") * (size // finer), (F.col("k") + 1) * (size // finer) - 1), lambda k: F.struct(k.alias("k"), F.col("many").alias("many")))))
+        onward = onward.groupBy("doc", "start").agg(children.alias("own"))
+        inside = F.filter("own", lambda o: (o["k"] * finer <= lead) & (o["k"] * finer + finer - 1 >= low))
+        rows = chunks.drop("many").join(onward, ["doc", "start"]).withColumn("own", inside)
+    parts = [f.select("doc", F.col("from").alias("start"), "end") for f in found]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def shared_length(spans: DataFrame) -> DataFrame:
