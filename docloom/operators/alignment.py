@@ -65,7 +65,8 @@ def validation_summary(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     counted = ids.agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_predicted"), F.sum(F.col("g") * F.col("p")).alias("n_aligned"),
                       F.sum(F.col("g") * (1 - F.col("p"))).alias("n_missing"), F.sum(F.col("p") * (1 - F.col("g"))).alias("n_extra"))
     odd = types_without_conflict(predictions).agg(F.count(F.lit(1)).alias("n_type_without_conflict"))
-    return counted.crossJoin(odd)  # one row each
+    both_rows = counted.unionByName(odd, allowMissingColumns=True)
+    return both_rows.agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in both_rows.columns))
 
 
 def require_predictions(predictions: DataFrame) -> DataFrame:

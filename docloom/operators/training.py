@@ -70,7 +70,8 @@ def truncation_statistics(packed: DataFrame) -> DataFrame:
     lengths = packed.groupBy("length").agg(F.count(F.lit(1)).alias("k"))
     placed = lengths.select("length", F.sum("k").over(Window.orderBy("length")).alias("upto"), F.sum("k").over(Window.partitionBy()).alias("n"))
     at = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("n") * F.lit(share)), F.col("length")))
-    return flags.crossJoin(placed.agg(at(0.5).alias("median"), at(0.9).alias("p90")))  # one row each
+    both_rows = flags.unionByName(placed.agg(at(0.5).alias("median"), at(0.9).alias("p90")), allowMissingColumns=True)
+    return both_rows.agg(*(F.max(c).alias(c) for c in both_rows.columns))
 
 
 def learning_rate(step: Column, warmup: int, total: int, peak: float) -> Column:
