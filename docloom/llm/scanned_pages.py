@@ -198,6 +198,9 @@ def layout(raw: list[dict] | None, known: set[str] = frozenset()) -> tuple[list[
     return pages, keys
 
 
+# Signs that no word holds between its letters.
+_NO_LETTER = re.compile(r"[^\W\d_](?:[|†\ufffd]|\\/)[^\W\d_]")
+
 _OUTER = ".,;:()\"'“”‘’«»?"
 
 
@@ -347,10 +350,13 @@ def _links(counts: DataFrame, looked_up: DataFrame) -> DataFrame:
     keys = F.udf(edit_keys, "array<string>", useArrow=True)
     edit = F.udf(glyph_edit, "string", useArrow=True)
     seen = looked_up.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
-    plain = counts.where((F.col("n") >= 3) & F.col("word").rlike("^[a-z]+(-[a-z]+)*$"))
+    plain = counts.where(F.col("word").rlike("^[a-z]+(-[a-z]+)*$"))
     left = seen.select("word", "n", F.explode(keys("word")).alias("key"))
     right = plain.select(F.col("word").alias("meant"), F.col("n").alias("n_meant"), F.explode(keys("word")).alias("key"))
-    pairs = left.join(right, "key").where((F.col("n_meant") >= F.greatest(F.lit(3), F.lit(RATIO) * F.col("n"))) & (F.col("word") != F.col("meant"))).select("word", "n", "meant", "n_meant").distinct()
+    # a word with signs, digits or diacritics gives way to a plain one as frequent; a plain one only to a much more frequent
+    odd = ~F.col("word").rlike("^[a-z'’-]+$") & (F.col("n_meant") >= F.col("n"))
+    rare = (F.col("n_meant") >= 3) & ((F.col("n") <= 1) | (F.col("n_meant") >= RATIO * F.col("n")))
+    pairs = left.join(right, "key").where((odd | rare) & (F.col("word") != F.col("meant"))).select("word", "n", "meant", "n_meant").distinct()
     judged = cut_lineage(pairs.withColumn("edit", edit("word", "meant")).where("edit is not null"))
     # a letter for a letter beyond the look-alikes must be a habit of the scanner: seen in several words
     habits = judged.where("length(edit) = 2").groupBy("edit").agg(F.count_distinct("meant").alias("words"))
@@ -438,6 +444,8 @@ def judge_lines(lines: list[Line], judge: Judge) -> tuple[list[tuple[int, int, s
                 if meant:
                     faults.add((line.page, line.no, "char"))
                     words[i] = _replace(raw, word, meant)
+            if word and _NO_LETTER.search(word):  # misread for sure, even if the corpus does not know the word
+                faults.add((line.page, line.no, "char"))
         if line.cut and words:
             left, right = line.cut
             alone, form, meant = judge.split(left, right)
