@@ -17,5 +17,5 @@ def catch_up(spark: SparkSession, source: str, schema: str, transform: Callable[
 
 def windowed_counts(events: DataFrame, *, time: str = "ts", keys: list[str], window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts and sums per window and key; works on a stream (rows later than `late` are dropped) and on a table."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     return rows.groupBy(F.window(time, window).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), *keys, "n", "total")

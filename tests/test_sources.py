@@ -131,3 +131,35 @@ def test_incremental_run_takes_only_new_files(spark, tmp_path):
     run()
     run()
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_windows_are_the_same_for_streams_and_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from conftest import DATA
+
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    want = sorted(map(tuple, incremental.windowed_counts(events, keys=["event_type"]).select(F.date_format("window_start", "HH:mm dd"), "event_type", "n").collect()))
+    source = tmp_path / "events"
+    events.orderBy("ts").coalesce(1).write.parquet(str(source))
+    stream = incremental.windowed_counts(spark.readStream.schema(events.schema).parquet(str(source)), keys=["event_type"])
+    run = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = sorted(map(tuple, spark.table("windows").select(F.date_format("window_start", "HH:mm dd"), "event_type", "n").collect()))
+    assert got == want
+
+
+def test_plans_prune_and_do_not_shuffle(spark):
+    """What the scans read, and which queries move nothing."""
+    from conftest import DATA
+
+    from docloom.plans import queries
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    text = plan(queries.QUERIES["binary_metrics"](spark, DATA))
+    assert "ReadSchema" in text and "passage" not in text and "IsNotNull(pair_id)" in text
+    for name in ("parse_blocks", "chunk_documents", "prompts", "joint_budget", "page_checks"):
+        assert "Exchange hashpartitioning" not in plan(queries.QUERIES[name](spark, DATA)) or name == "parse_blocks", name
+    for name, query in queries.QUERIES.items():
+        if name not in ("clean_text",):
+            assert "CartesianProduct" not in plan(query(spark, DATA)), name
