@@ -109,3 +109,16 @@ def test_order_of_input_does_not_matter(spark, tmp_path):
     spark.createDataFrame(rows, schema).repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
     want, got = (sorted(map(tuple, QUERIES["p10_found"](spark, d).collect())) for d in (DATA, str(tmp_path)))
     assert want == got
+
+
+@pytest.mark.parametrize("name, moves", [("p8_ids", 0), ("p7_found", 0), ("p7_pieces", 0), ("p9_found", 1), ("p5_found", 2)])
+def test_texts_stay_where_they_are(spark, tmp_path, name, moves):
+    """Exchanges in the plan over an input with many partitions: none for texts but the salted pieces of long ones."""
+    for table in ("documents", "chunks", "eval_items"):
+        spark.read.parquet(f"{DATA}/{table}.parquet").repartition(8).write.parquet(str(tmp_path / f"{table}.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # one partition a file
+    try:
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert plan.count("Exchange hashpartitioning") == moves and "CartesianProduct" not in plan and "NestedLoop" not in plan
