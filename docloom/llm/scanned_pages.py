@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -29,7 +30,10 @@ HYPHENS = "-­‐‑¬"
 EDGE = 3
 
 #: Words of the skip-gram model at most (the most frequent), and the length of their vectors.
-MODEL_WORDS, VECTOR = 50_000, 32
+MODEL_WORDS, VECTOR, WINDOW = 50_000, 16, 3
+
+#: Words whose forms a worker remembers.
+REMEMBERED = 100_000
 
 #: A neighbour must be this many times as frequent as the word that is taken for its misreading.
 RATIO = 10
@@ -48,6 +52,7 @@ def bare(text: str) -> str:
     return _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower()
 
 
+@functools.lru_cache(maxsize=REMEMBERED)
 def skeleton(word: str) -> str:
     """What is left of a word when glyphs that look alike are one."""
     word = bare(word)
@@ -204,6 +209,7 @@ _NO_LETTER = re.compile(r"[^\W\d_](?:[|†\ufffd]|\\/)[^\W\d_]")
 _OUTER = ".,;:()\"'“”‘’«»?"
 
 
+@functools.lru_cache(maxsize=REMEMBERED)
 def core(word: str) -> str:
     """A word as it is counted: lower case, outer punctuation gone, hyphens alike; '' for what is no word."""
     word = word.strip(_OUTER)
@@ -373,7 +379,7 @@ def word_vectors(lines: DataFrame, counts: DataFrame, words: int = MODEL_WORDS,
     if not counts.where(F.col("n") >= least).head(1):
         return {}
     parts = max(1, min(lines.rdd.getNumPartitions(), lines.sparkSession.sparkContext.defaultParallelism))
-    model = Word2Vec(vectorSize=size, minCount=least, numPartitions=parts, maxIter=1, windowSize=4, seed=7, inputCol="words", outputCol="v", maxSentenceLength=200).fit(lines.where(F.size("words") > 0))
+    model = Word2Vec(vectorSize=size, minCount=least, numPartitions=parts, maxIter=1, windowSize=WINDOW, seed=7, inputCol="words", outputCol="v", maxSentenceLength=200).fit(lines.where(F.size("words") > 0))
     out = {}
     for r in model.getVectors().toLocalIterator():
         v = np.array(r["vector"].toArray(), np.float32)
