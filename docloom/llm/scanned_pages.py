@@ -496,13 +496,15 @@ def repaired(extracted: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     vectors = extracted.sparkSession.sparkContext.broadcast(word_vectors(lines, counts))
     linked = links.groupBy("word").agg(F.collect_list(F.struct("meant", "n_meant", "edit")).alias("links"))
     about = looked_up.distinct().join(counts, "word", "left").join(linked, "word", "left").where("n is not null or links is not null")
-    about = about.groupBy("doc").agg(F.collect_list(F.struct("word", "n", "links")).alias("about"))
+    about = about.groupBy("doc").agg(F.collect_list(F.struct("word", F.coalesce("n", F.lit(0)).alias("n"), "links")).alias("about"))
+    # plain lists where most words are; only the few linked ones as rows
+    about = about.select("doc", F.col("about.word").alias("words"), F.col("about.n").alias("counts"), F.filter("about", lambda x: x["links"].isNotNull()).alias("linked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(r: dict) -> list[tuple]:
             pages, _ = layout(r["pages"], set(r["known"] or ()))
-            known = {x["word"]: x["n"] or 0 for x in r["about"] or ()}
-            own = {x["word"]: [(y["meant"], y["n_meant"], y["edit"]) for y in x["links"]] for x in r["about"] or () if x["links"]}
+            known = dict(zip(r["words"] or (), r["counts"] or ()))
+            own = {x["word"]: [(y["meant"], y["n_meant"], y["edit"]) for y in x["links"]] for x in r["linked"] or ()}
             for options in own.values():
                 for meant, n, _ in options:
                     known.setdefault(meant, n)
