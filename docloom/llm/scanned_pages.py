@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import difflib
 import functools
 import math
 import re
@@ -35,6 +36,9 @@ MODEL_WORDS, VECTOR, WINDOW = 50_000, 16, 3
 #: Words whose forms a worker remembers.
 REMEMBERED = 100_000
 
+#: Lines of one edge that are tried as the header of every other page, those on most pages first.
+TRIED = 20
+
 #: A neighbour must be this many times as frequent as the word that is taken for its misreading.
 RATIO = 10
 
@@ -162,6 +166,40 @@ def _title(line: str) -> str:
     return " ".join(w for w in shape(line).split() if any(c.isalpha() for c in w))
 
 
+def _titular(line: str) -> bool:
+    """Whether a line looks like a title: it starts with no small letter and doesn't end like running text."""
+    line = line.strip()
+    words = [w for w in line.split() if any(c.isalpha() for c in w)]
+    return 2 <= len(words) <= 9 and len(line) >= 8 and not next(c for c in line if c.isalnum()).islower() and line[-1] not in ".,;:" + HYPHENS
+
+
+def _near(a: str, b: str) -> bool:
+    """Titles that may be one line, copies too misread for _like included."""
+    if _like(a, b):
+        return True
+    return len(a.split()) == len(b.split()) and abs(len(a) - len(b)) <= 2 and difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.85
+
+
+def _alternating(pages: list[Page], heads: list[tuple[str, list]]) -> Iterator[tuple[Page, int, bool]]:
+    """(page, line, whether it recurs) of one edge's lines that head every other page.
+
+    A header of the even or the odd pages is judged against the pages where it can stand: those of its parity that have
+    lines, the first page left out. Where one of two alternating headers is on all its pages, the other may have one only.
+    """
+    able = {parity: {p.number for p in pages[1:] if p.top and p.number % 2 == parity} for parity in (0, 1)}
+    found: set[int] = set()
+    for parity in (0, 1):
+        own = [(head, [(p, i) for p, i in members if p.number in able[parity] and _titular(p.lines[i])]) for head, members in heads]
+        own = sorted((x for x in own if x[1]), key=lambda x: -len(x[1]))
+        best = max(([m for other, members in own if _near(head, other) for m in members] for head, _ in own[:TRIED]), key=len, default=[])
+        if len(best) >= 2 and len(best) * 2 >= len(able[parity]):
+            found |= {p.number for p, _ in best}
+            yield from ((p, i, True) for p, i in best)
+    for parity in (0, 1):
+        if len(able[parity]) == 1 and len(able[1 - parity]) >= 2 and able[1 - parity] <= found:
+            yield from ((p, i, False) for _, members in heads if len(members) == 1 for p, i in members if p.number in able[parity] and _titular(p.lines[i]))
+
+
 def _keys(line: str) -> list[str]:
     own = _suffix(line)
     return [x for x in (f"shape {shape(line)}", own) if x]
@@ -198,6 +236,11 @@ def layout(raw: list[dict] | None, known: set[str] = frozenset()) -> tuple[list[
                     for page, i in members:
                         if any(k in known for k in _keys(page.lines[i])):
                             changed, page.kind[i] = True, "header"
+            for page, i, recurs in list(_alternating(pages, heads)):
+                if page.kind[i] == "body":
+                    changed, page.kind[i] = True, "header"
+                    if recurs:
+                        keys.update(_keys(page.lines[i]))
         if not changed:
             break
     return pages, keys
