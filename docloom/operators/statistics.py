@@ -7,6 +7,7 @@ multinomial draw per replicate, which has the same distribution and does not gro
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,23 +86,19 @@ def resample(rows: DataFrame, cell: list[str], *, order: list[str], replicates:
         ends += r["n"]
         bounds.append(ends)
     names = spark.createDataFrame([(i, *(r[c] for c in cell)) for i, r in enumerate(counts)], "k int, " + ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in cell))
-    if total <= exact_rows:
-        draws = spark.range(replicates * total).select(F.floor(F.col("id") / F.lit(max(total, 1))).cast("int").alias("b"), F.pmod("id", F.lit(max(total, 1))).alias("j"))
-        index = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(max(total, 1)))
-        which = F.lit(0)
-        for bound in bounds[:-1]:
-            which = which + (F.col("i") >= bound).cast("int")
-        drawn = draws.select("b", index.alias("i")).select("b", which.alias("k")).groupBy("b", "k").agg(F.count(F.lit(1)).alias("w"))
-    else:
-        shares = np.diff([0, *bounds]) / total
-
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                for b in part["id"]:
-                    w = np.random.default_rng([seed, int(b)]).multinomial(total, shares)
-                    yield pd.DataFrame({"b": int(b), "k": np.arange(len(w)), "w": w})[w > 0]
-
-        drawn = spark.range(replicates).mapInPandas(run, "b int, k int, w long")
+    shares, inner = np.diff([0, *bounds]) / max(total, 1), np.array(bounds[:-1], dtype=np.int64)
+
+    def slots(b: int) -> np.ndarray:
+        hashes = (int.from_bytes(hashlib.md5(b"%d|%d|%d" % (seed, b, j)).digest()[:4], "big") for j in range(total))
+        return np.bincount(np.searchsorted(inner, np.fromiter(hashes, np.int64, total) % total, side="right"), minlength=len(bounds))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for b in part["id"]:
+                w = slots(int(b)) if total <= exact_rows else np.random.default_rng([seed, int(b)]).multinomial(total, shares)
+                yield pd.DataFrame({"b": int(b), "k": np.arange(len(w)), "w": w})[w > 0]
+
+    drawn = spark.range(replicates if total else 0).mapInPandas(run, "b int, k int, w long")
     return drawn.join(F.broadcast(names), "k").select("b", *cell, "w")
 
 

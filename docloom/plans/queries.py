@@ -19,7 +19,7 @@ from docloom.sources import sinks
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 TYPES = ", ".join(f"'{c}'" for c in CONFLICT_TYPES)
-REPLICATES = 100
+REPLICATES = 1000
 SIX = list(V.SYSTEMS)
 
 
