@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import scores
+from docloom.operators import evaluation
 from docloom.operators.alignment import is_conflict
 from docloom.schemas import CONFLICT_TYPES
 
+HEADLINE = ["precision", "recall", "f1", "macro_f1", "accuracy", "roc_auc", "typology_macro_f1", "typology_accuracy", "joint_accuracy"]
+
 
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the md5 of parts joined by '|': the same in every engine, and no state."""
@@ -61,9 +64,19 @@ def summarise(values: DataFrame, column: str, by: list[str] = []) -> DataFrame:
     return values.groupBy(*by).agg(r(F.avg(column), "mean"), r(F.coalesce(F.stddev_pop(column), F.lit(0.0)), "std"), r(F.min(column), "min"), r(F.max(column), "max"), F.count(column).alias("n"))
 
 
-def predicted_shares(predictions: DataFrame) -> DataFrame:
-    """(label, n, share): what is predicted, pooled over seeds."""
+def sweep_metrics(aligned: DataFrame, by: list[str] = ["seed", "split"]) -> DataFrame:
+    """(by..., metric, value): the nine headline metrics of every seed and split; null where one is undefined."""
+    parts = [evaluation.binary_metrics(aligned, by), evaluation.roc_auc(aligned, by), evaluation.typology_macro(aligned, by).select(*by, F.col("macro_f1").alias("typology_macro_f1"), F.col("accuracy").alias("typology_accuracy")), evaluation.joint_exact_match(aligned, by).drop("n")]
+    wide = parts[0]
+    for part in parts[1:]:
+        wide = wide.join(part, by)
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in HEADLINE))).alias("m")
+    return wide.select(*by, each).select(*by, "m.*")
+
+
+def predicted_shares(predictions: DataFrame, by: list[str] = []) -> DataFrame:
+    """(by..., label, n, share): what is predicted, pooled over seeds; shares within by."""
     label = F.when(F.col("y_pred"), F.coalesce("t_pred", F.lit("untyped"))).otherwise("non_conflict")
-    counts = predictions.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    total = predictions.count()
-    return counts.select("label", "n", F.round(F.col("n") / F.lit(float(max(total, 1))), 9).alias("share"))
+    counts = predictions.groupBy(*by, label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*by))
+    return counts.select(*by, "label", "n", F.round(F.col("n") / total.cast("double"), 9).alias("share"))

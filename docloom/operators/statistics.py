@@ -68,6 +68,12 @@ def cell_counts(rows: DataFrame, cell: list[str]) -> DataFrame:
     return rows.sparkSession.createDataFrame(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).collect(), schema)
 
 
+def drawn_rows(seed: int, b: int, total: int) -> np.ndarray:
+    """The rows that replicate b draws: md5(seed|b|j) modulo total for every slot j."""
+    hashes = (int.from_bytes(hashlib.md5(b"%d|%d|%d" % (seed, b, j)).digest()[:4], "big") for j in range(total))
+    return np.fromiter(hashes, np.int64, total) % max(total, 1)
+
+
 def resample(rows: DataFrame, cell: list[str], *, order: list[str], replicates: int, seed: int = 42, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """(b, cell..., w): how often replicate b drew a row of each cell; n draws with replacement per replicate.
 
@@ -89,8 +95,7 @@ def resample(rows: DataFrame, cell: list[str], *, order: list[str], replicates:
     shares, inner = np.diff([0, *bounds]) / max(total, 1), np.array(bounds[:-1], dtype=np.int64)
 
     def slots(b: int) -> np.ndarray:
-        hashes = (int.from_bytes(hashlib.md5(b"%d|%d|%d" % (seed, b, j)).digest()[:4], "big") for j in range(total))
-        return np.bincount(np.searchsorted(inner, np.fromiter(hashes, np.int64, total) % total, side="right"), minlength=len(bounds))
+        return np.bincount(np.searchsorted(inner, drawn_rows(seed, b, total), side="right"), minlength=len(bounds))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -132,6 +137,40 @@ def bootstrap_intervals(aligned: DataFrame, *, replicates: int = 1000, seed: int
     return intervals(long, ["metric"])
 
 
+def sweep_intervals(aligned: DataFrame, *, replicates: int = 100, representative: int = 42, full: int = 1000, seed: int = 42, block: int = 25, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """(seed, split, metric, mean, low, high, n): bootstrap_intervals of every seed and split of a sweep.
+
+    The representative seed has `full` replicates. As the sweep's seeds predict the same rows, replicate b of a split
+    draws the same slots for all of them; they are hashed once. A group is a split and a block of replicates.
+    """
+    cell = ["seed", "split", *CELL]
+    sizes = aligned.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((max(replicates, full) - 1) // block))).alias("block")
+    wanted = F.when(F.col("seed") == representative, full).otherwise(replicates)
+    each = sizes.select(*cell, "n", blocks).where(F.col("block") * block < wanted)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out, first, indices = [], int(part["block"].iloc[0]) * block, {}
+        for number, own in part.groupby("seed"):
+            own = own.sort_values(CELL, na_position="first")
+            bounds = np.cumsum(own["n"].to_numpy())
+            total, most = int(bounds[-1]), full if number == representative else replicates
+            for b in range(first, min(first + block, most)):
+                if total > exact_rows:
+                    w = np.random.default_rng([seed, b]).multinomial(total, own["n"].to_numpy() / total)
+                else:
+                    if (b, total) not in indices:
+                        indices[b, total] = drawn_rows(seed, b, total)
+                    w = np.bincount(np.searchsorted(bounds[:-1], indices[b, total], side="right"), minlength=len(bounds))
+                out.append(own[cell].assign(b=b, w=w)[w > 0])
+        return pd.concat(out)[[*cell, "b", "w"]]
+
+    kinds = ", ".join(f"{c} {aligned.schema[c].dataType.simpleString()}" for c in cell)
+    metrics = replicate_metrics(each.groupBy("split", "block").applyInPandas(run, f"{kinds}, b int, w long"), ["seed", "split"])
+    long = metrics.select("seed", "split", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS))).alias("m")).select("seed", "split", "m.*")
+    return intervals(long, ["seed", "split", "metric"])
+
+
 def kappa_interval(pairs: DataFrame, *, replicates: int = 1000, seed: int = 42) -> DataFrame:
     inside = pairs.where(F.col("a").isin(CONFLICT_TYPES) & F.col("b").isin(CONFLICT_TYPES))
     names = inside.select(F.col("a"), F.col("b").alias("b2"))

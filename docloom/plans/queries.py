@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 TYPES = ", ".join(f"'{c}'" for c in CONFLICT_TYPES)
 REPLICATES = 1000
+N_SEEDS = 100
 SIX = list(V.SYSTEMS)
 
 
@@ -238,24 +239,47 @@ _RANDOM = f"""{_TRAIN}, {_PRIORS}, rnd AS (SELECT seed::INT AS seed, record_no A
   WHEN {_u('t')} < 0.0 + {_C[0]} + {_C[1]} + {_C[2]} THEN '{CONFLICT_TYPES[2]}' ELSE '{CONFLICT_TYPES[3]}' END END AS t_pred, p_conflict AS conf FROM other, priors, range(SEEDS) r(seed))"""
 
 
-@query(f"WITH {_RANDOM.replace('SEEDS', '5')} SELECT * FROM rnd")
+_RANDOM = _RANDOM.replace("SEEDS", str(N_SEEDS))
+
+
+@query(f"WITH {_RANDOM} SELECT * FROM rnd")
 def stratified_predict(spark, d):
-    return predictors.stratified_predict(*_train(spark, d), list(range(5)))
+    return predictors.stratified_predict(*_train(spark, d), list(range(N_SEEDS)))
 
 
-@query(f"""WITH {_RANDOM.replace('SEEDS', '20')}, aligned AS (SELECT seed, coalesce(record_type = 'conflict', FALSE) AS y_true, y_pred FROM rnd JOIN other ON record_no = ord), s AS (SELECT seed, round({B['f1']}, 9) AS f1 FROM aligned GROUP BY seed)
-SELECT round(avg(f1), 9) AS mean, round(stddev_pop(f1), 9) AS std, round(min(f1), 9) AS min, round(max(f1), 9) AS max, count(f1) AS n FROM s""")
-def seed_sweep(spark, d):
-    """All seeds at once: predictions, F1 per seed, summary."""
+def _sweep(spark, d):
+    """Predictions of all seeds with split and truth."""
     train, other = _train(spark, d)
-    said = predictors.stratified_predict(train, other, list(range(20)))
-    truth = other.select(F.col("record_no").alias("ord"), alignment.is_conflict().alias("y_true"), F.lit(None).cast("string").alias("t_true"))
-    return predictors.summarise(evaluation.binary_metrics(said.join(truth, "ord"), ["seed"]), "f1")
+    said = predictors.stratified_predict(train, other, list(range(N_SEEDS)))
+    y = alignment.is_conflict()
+    truth = other.select(F.col("record_no").alias("ord"), "split", y.alias("y_true"), F.when(y, F.col("conflict_type")).alias("t_true"))
+    return said.join(truth, "ord")
+
+
+_AREA = "CASE WHEN count(*) FILTER (y_true) > 0 AND count(*) FILTER (NOT y_true) > 0 THEN 0.5::DOUBLE END"  # one score for all rows: every pair is a tie
+_TYPE = {c: [f"count(*) FILTER (y_true AND {x})" for x in (f"t_true = '{c}' AND t_pred = '{c}'", f"t_pred = '{c}'", f"t_true = '{c}'")] for c in CONFLICT_TYPES}
+_NINE = {m: B[m] for m in ("precision", "recall", "f1", "macro_f1", "accuracy")} | {
+    "roc_auc": _AREA, "typology_macro_f1": "CASE WHEN count(*) FILTER (y_true) > 0 THEN (" + " + ".join(_ratio(f"2*{t}", f"{p}+{s}") for t, p, s in _TYPE.values()) + ") / 4 END",
+    "typology_accuracy": f"CASE WHEN count(*) FILTER (y_true) > 0 THEN {_ratio('count(*) FILTER (y_true AND t_true = t_pred)', 'count(*) FILTER (y_true)')} END", "joint_accuracy": _ratio(f"count(*) FILTER ({_JOINT})", "count(*)")}
+
+
+@query(f"""WITH {_RANDOM}, aligned AS (SELECT seed, split, coalesce(record_type = 'conflict', FALSE) AS y_true, CASE WHEN record_type = 'conflict' THEN conflict_type END AS t_true, y_pred, t_pred FROM rnd JOIN other ON record_no = ord),
+s AS (SELECT seed, split, {', '.join(f'round({x}, 9) AS {m}' for m, x in _NINE.items())} FROM aligned GROUP BY seed, split), long AS ({' UNION ALL '.join(f"SELECT split, '{m}' AS metric, {m} AS value FROM s" for m in _NINE)})
+SELECT split, metric, round(avg(value), 9) AS mean, round(coalesce(stddev_pop(value), 0.0), 9) AS std, round(min(value), 9) AS min, round(max(value), 9) AS max, count(value) AS n FROM long GROUP BY split, metric""")
+def seed_sweep(spark, d):
+    """All seeds at once: predictions, headline metrics per seed and split, summary over the seeds."""
+    return predictors.summarise(predictors.sweep_metrics(_sweep(spark, d)), "value", ["split", "metric"])
+
+
+@query()
+def seed_intervals(spark, d):
+    """Bootstrap intervals of every seed and split, 100 replicates each and 1000 for seed 42."""
+    return statistics.sweep_intervals(_sweep(spark, d))
 
 
-@query(f"WITH {_RANDOM.replace('SEEDS', '5')} SELECT CASE WHEN y_pred THEN coalesce(t_pred, 'untyped') ELSE 'non_conflict' END AS label, count(*) AS n, round(count(*) / (SELECT count(*) FROM rnd), 9) AS share FROM rnd GROUP BY label")
+@query(f"WITH {_RANDOM}, said AS (SELECT split, CASE WHEN y_pred THEN coalesce(t_pred, 'untyped') ELSE 'non_conflict' END AS what FROM rnd JOIN other ON record_no = ord), c AS (SELECT split, what, count(*) AS n FROM said GROUP BY ALL) SELECT split, what AS label, n, round(n / sum(n) OVER (PARTITION BY split), 9) AS share FROM c")
 def predicted_shares(spark, d):
-    return predictors.predicted_shares(predictors.stratified_predict(*_train(spark, d), list(range(5))))
+    return predictors.predicted_shares(_sweep(spark, d), ["split"])
 
 
 # -- agreement and resampling ------------------------------------------------------------------------------------------
