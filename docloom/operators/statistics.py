@@ -180,7 +180,7 @@ def kappa_interval(pairs: DataFrame, *, replicates: int = 1000, seed: int = 42)
 
 
 def paired_bootstrap(paired: DataFrame, *, a: list[str] = ["y_a"], b: list[str] = ["y_b"], replicates: int = 1000, seed: int = 42, centre: str = "mean") -> DataFrame:
-    """One row: F1 of A and B and their difference with intervals, and the two-sided p of the difference.
+    """One row: F1 of A and B and their difference, observed and with intervals, and the two-sided p of the difference.
 
     paired holds y_true and, in columns a and b, what the draws of either system predict for each row; a system's F1 is
     the mean over its draws. Both see the same resamples. p is the share of replicates whose distance from the centre
@@ -198,10 +198,12 @@ def paired_bootstrap(paired: DataFrame, *, a: list[str] = ["y_a"], b: list[str]
     drawn = resample(sizes, cell, order=cell, replicates=replicates, seed=seed)
     each = drawn.groupBy("b").agg(mean_f1(a, F.col("w")).alias("_a"), mean_f1(b, F.col("w")).alias("_c")).select("_a", "_c", (F.col("_a") - F.col("_c")).alias("d"))
     each = cut_lineage(each)  # one row per replicate
-    seen = sizes.agg((mean_f1(a, F.col("n")) - mean_f1(b, F.col("n"))).alias("observed")).first()["observed"]
+    points = sizes.agg(mean_f1(a, F.col("n")).alias("a"), mean_f1(b, F.col("n")).alias("b"), (mean_f1(a, F.col("n")) - mean_f1(b, F.col("n"))).alias("d")).first()
+    seen = points["d"]
     at = F.lit(seen) if centre == "observed" else F.lit(each.agg(F.avg("d")).first()[0])
     r = lambda x, n: F.round(x, 9).alias(n)
+    ends = [r(F.percentile(c, F.lit(q)), f"{end}_{name}") for c, name in (("_a", "a"), ("_c", "b")) for end, q in (("low", 0.025), ("high", 0.975))]
     out = each.agg(
-        r(F.avg("_a"), "f1_a"), r(F.avg("_c"), "f1_b"), r(F.lit(seen), "observed"), r(F.avg("d"), "mean_difference"), r(F.percentile("d", F.lit(0.025)), "low"), r(F.percentile("d", F.lit(0.975)), "high"),
+        r(F.avg("_a"), "f1_a"), r(F.avg("_c"), "f1_b"), r(F.lit(points["a"]), "observed_a"), r(F.lit(points["b"]), "observed_b"), *ends, r(F.lit(seen), "observed"), r(F.avg("d"), "mean_difference"), r(F.percentile("d", F.lit(0.025)), "low"), r(F.percentile("d", F.lit(0.975)), "high"),
         r(F.avg((F.abs(F.col("d") - at) >= F.abs(at)).cast("double")), "p_value"), F.count(F.lit(1)).alias("n"))
     return out.withColumn("p_text", F.when(F.col("p_value") == 0, F.concat(F.lit("< "), (1 / F.col("n")).cast("string"))).otherwise(F.col("p_value").cast("string")))

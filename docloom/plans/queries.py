@@ -348,9 +348,10 @@ def _f1_of(p: str, w: str) -> str:
     return _ratio(f"2*{n[0]}", f"2*{n[0]}+{n[1]}+{n[2]}")
 
 
+_ENDS = "round(quantile_cont(a, 0.025), 9) AS low_a, round(quantile_cont(a, 0.975), 9) AS high_a, round(quantile_cont(c, 0.025), 9) AS low_b, round(quantile_cont(c, 0.975), 9) AS high_b"
 _PAIRED = f"""WITH {V.predictions_sql(['s1', 's3'])}, paired AS (SELECT y_true, coalesce(a.y_pred, FALSE) AS y_a, coalesce(b.y_pred, FALSE) AS y_b FROM gold LEFT JOIN last a ON a.pair_id = gold.pair_id AND a.system = 's1' LEFT JOIN last b ON b.pair_id = gold.pair_id AND b.system = 's3'),
-{_draws('paired', ['y_true', 'y_a', 'y_b'])}, each AS (SELECT rep, {_f1_of('y_a', 'w')} AS a, {_f1_of('y_b', 'w')} AS c FROM drawn GROUP BY rep), diff AS (SELECT a, c, a - c AS d FROM each), seen AS (SELECT {_f1_of('y_a', '1')} - {_f1_of('y_b', '1')} AS observed FROM paired),
-mid AS (SELECT CENTRE AS mid_d FROM diff, seen), out AS (SELECT round(avg(a), 9) AS f1_a, round(avg(c), 9) AS f1_b, round((SELECT observed FROM seen), 9) AS observed, round(avg(d), 9) AS mean_difference, round(quantile_cont(d, 0.025), 9) AS low, round(quantile_cont(d, 0.975), 9) AS high,
+{_draws('paired', ['y_true', 'y_a', 'y_b'])}, each AS (SELECT rep, {_f1_of('y_a', 'w')} AS a, {_f1_of('y_b', 'w')} AS c FROM drawn GROUP BY rep), diff AS (SELECT a, c, a - c AS d FROM each), seen AS (SELECT {_f1_of('y_a', '1')} AS fa, {_f1_of('y_b', '1')} AS fb, {_f1_of('y_a', '1')} - {_f1_of('y_b', '1')} AS observed FROM paired),
+mid AS (SELECT CENTRE AS mid_d FROM diff, seen), out AS (SELECT round(avg(a), 9) AS f1_a, round(avg(c), 9) AS f1_b, round((SELECT fa FROM seen), 9) AS observed_a, round((SELECT fb FROM seen), 9) AS observed_b, {_ENDS}, round((SELECT observed FROM seen), 9) AS observed, round(avg(d), 9) AS mean_difference, round(quantile_cont(d, 0.025), 9) AS low, round(quantile_cont(d, 0.975), 9) AS high,
   round(avg((abs(d - (SELECT mid_d FROM mid)) >= abs((SELECT mid_d FROM mid)))::INT), 9) AS p_value, count(*) AS n FROM diff) SELECT * FROM out"""
 
 
@@ -373,7 +374,7 @@ def _mean_f1(names: list[str], w: str) -> str:
 
 @query(f"""WITH {_LAST}, paired AS (SELECT y_true, {', '.join(f"coalesce(max(l.y_pred::INT) FILTER (l.system = '{s}'), 0) = 1 AS y_{s}" for s in SIX)} FROM gold LEFT JOIN last l USING (pair_id) GROUP BY gold.ord, y_true),
 {_draws('paired', ['y_true'] + [f'y_{s}' for s in SIX])}, each AS (SELECT rep, {_mean_f1(_DRAWS['a'], 'w')} AS a, {_mean_f1(_DRAWS['b'], 'w')} AS c FROM drawn GROUP BY rep), diff AS (SELECT a, c, a - c AS d FROM each),
-mid AS (SELECT {_mean_f1(_DRAWS['a'], '1')} - {_mean_f1(_DRAWS['b'], '1')} AS mid_d FROM paired) SELECT round(avg(a), 9) AS f1_a, round(avg(c), 9) AS f1_b, round((SELECT mid_d FROM mid), 9) AS observed, round(avg(d), 9) AS mean_difference,
+mid AS (SELECT {_mean_f1(_DRAWS['a'], '1')} AS fa, {_mean_f1(_DRAWS['b'], '1')} AS fb, {_mean_f1(_DRAWS['a'], '1')} - {_mean_f1(_DRAWS['b'], '1')} AS mid_d FROM paired) SELECT round(avg(a), 9) AS f1_a, round(avg(c), 9) AS f1_b, round((SELECT fa FROM mid), 9) AS observed_a, round((SELECT fb FROM mid), 9) AS observed_b, {_ENDS}, round((SELECT mid_d FROM mid), 9) AS observed, round(avg(d), 9) AS mean_difference,
  round(quantile_cont(d, 0.025), 9) AS low, round(quantile_cont(d, 0.975), 9) AS high, round(avg((abs(d - (SELECT mid_d FROM mid)) >= abs((SELECT mid_d FROM mid)))::INT), 9) AS p_value, count(*) AS n FROM diff""")
 def paired_bootstrap_draws(spark, d):
     """Two systems with several draws each, compared by their mean F1."""

@@ -37,3 +37,6 @@ def test_paired_bootstrap_against_plain_python(spark):
     assert got["n"] == 1000
     assert (got["f1_a"], got["f1_b"]) == (pytest.approx(a.mean(), abs=1e-8), pytest.approx(b.mean(), abs=1e-8))
     assert (got["low"], got["high"]) == tuple(pytest.approx(x, abs=1e-8) for x in np.quantile(a - b, [0.025, 0.975]))
+    assert (got["observed_a"], got["observed_b"]) == tuple(pytest.approx(f1([(r[0], r[k]) for r in rows]), abs=1e-8) for k in (1, 2))
+    for name, x in (("a", a), ("b", b)):
+        assert (got[f"low_{name}"], got[f"high_{name}"]) == tuple(pytest.approx(q, abs=1e-8) for q in np.quantile(x, [0.025, 0.975]))
