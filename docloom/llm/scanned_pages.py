@@ -31,7 +31,7 @@ HYPHENS = "-­‐‑¬"
 EDGE = 3
 
 #: Words of the skip-gram model at most (the most frequent), and the length of their vectors.
-MODEL_WORDS, VECTOR, WINDOW = 50_000, 16, 3
+MODEL_WORDS, VECTOR, WINDOW = 50_000, 32, 4
 
 #: Words whose forms a worker remembers.
 REMEMBERED = 100_000
