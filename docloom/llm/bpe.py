@@ -118,7 +118,7 @@ class ByteBpe:
         if len(self.ids) > CACHE_TOKENS:
             self.ids.clear()
             self.sizes.clear()
-        new = list(set().union(*parts) - self.ids.keys())
+        new = [t for t in set().union(*parts) if t not in self.ids]
         if new:
             mapped = [t.encode("utf-8", "surrogatepass").decode("latin-1").translate(TO_CHARS) for t in new]
             for token, ids in zip(new, self.processor.encode(mapped, num_threads=1)):

@@ -15,6 +15,9 @@ from docloom.plans.runtime import spread, table, type_of
 
 LIMIT, OVERLAP = 400, 40
 
+#: Tokens of its own that a piece may have at least, however much its neighbours' joining adds.
+LEAST_ROOM = 8
+
 _STRETCH = regex.compile(r"[\r\n]+|(?<=[.!?])\s+")
 
 # Boundary kinds from strong to weak; the match's end is the place of the cut.
@@ -29,40 +32,42 @@ _KINDS = (
 _NATURAL = 3
 
 
-def longest_stretch(text: str, count: Callable[[list[str]], list[int]]) -> int:
-    """Tokens of the longest stretch without a line break or a sentence end inside."""
-    return max(count(_STRETCH.split(text)), default=0)
+def forced(text: str, limit: int, count: Callable[[list[str]], list[int]]) -> bool:
+    """Whether some stretch of more than `limit` tokens has neither a line break nor a sentence end inside."""
+    return max(count(_STRETCH.split(text)), default=0) > limit
+
+
+def _pieces(part: str, pattern: regex.Pattern) -> list[str]:
+    cuts = [m.end() for m in pattern.finditer(part) if 0 < m.end() < len(part)]
+    return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)])] if part else []
+
+
+def _natural(text: str) -> list[tuple[str, int]]:
+    """(segment, strength of the boundary after it): paragraphs, lines and sentences."""
+    out = [(text, 6)]
+    for strength, pattern in _KINDS[: 6 - _NATURAL]:
+        out = [x for part, after in out for own in (_pieces(part, pattern),) for x in [*((p, strength) for p in own[:-1]), *((p, after) for p in own[-1:])]]
+    return out
 
 
 def _atoms(text: str, room: int, count: Callable[[list[str]], list[int]]) -> list[tuple[str, int, int]]:
     """(segment, tokens, strength of the boundary after it): lines and sentences, cut finer only where they exceed room."""
-    todo, out = [(text, 6, 0)], []
-    todo.reverse()
-    while todo:
-        part, after, level = todo.pop()
-        if not part:
-            continue
-        if level > 2:
-            (n,) = count([part])
-            if n <= room:
+    whole = _natural(text)
+    out: list[tuple[str, int, int]] = []
+    for (segment, strong), tokens in zip(whole, count([s for s, _ in whole])):
+        todo = [(segment, tokens, strong, 6 - _NATURAL)]
+        while todo:
+            part, n, after, level = todo.pop()
+            if n <= room or len(part) == 1 and level == len(_KINDS):  # a character with more tokens than fit is beyond cutting
                 out.append((part, n, after))
                 continue
-        if level == len(_KINDS):
-            half = len(part) // 2  # one run without white space: forced, in halves until it fits
-            if not half:
-                out.append((part, n, after))  # a single character with more tokens than fit is beyond cutting
-                continue
-            todo += [(part[half:], after, level), (part[:half], -1, level)]
-            continue
-        strength, pattern = _KINDS[level]
-        cuts = [m.end() for m in pattern.finditer(part) if 0 < m.end() < len(part)]
-        if not cuts:
-            todo.append((part, after, level + 1))
-            continue
-        edges = [0, *cuts, len(part)]
-        own = [(part[a:b], strength, level + 1) for a, b in zip(edges, edges[1:])]
-        own[-1] = (own[-1][0], after, level + 1)
-        todo += reversed(own)
+            if level == len(_KINDS):
+                own, strength = [part[: len(part) // 2], part[len(part) // 2 :]], -1  # no white space: in halves until it fits
+            else:
+                strength, pattern = _KINDS[level]
+                own, level = _pieces(part, pattern), level + 1
+            sizes = [n] if len(own) == 1 else count(own)
+            todo += reversed([(p, k, after if i == len(own) - 1 else strength, level) for i, (p, k) in enumerate(zip(own, sizes))])
     return out
 
 
@@ -98,15 +103,25 @@ def _tail(text: str, tokens: int, encoder: ByteBpe) -> str:
     return text
 
 
-def split_text(text: str, encoder: ByteBpe, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[str, int, int, int, bool]]:
-    """[(piece, its tokens, characters shared with the piece before, start of the piece in the text, cut naturally before)].
+def split_text(text: str, encoder: ByteBpe, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tuple[str, int, int, int, bool]], bool]:
+    """([(piece, its tokens, characters shared with the piece before, start of the piece in the text, cut naturally before)],
+    whether a cut within a natural stretch is forced).
 
     Every piece has at most `limit` tokens; the pieces without their shared beginnings are the text. A piece of fewer than
     `overlap` tokens is shared as a whole.
     """
-    room = limit - overlap
+    room, strain = limit - overlap, None
     while True:
         atoms = _atoms(text, room, encoder.count_batch)
+        if strain is None:  # runs of atoms between natural boundaries; only those that may exceed the limit are measured
+            strain, run, size = False, [], 0
+            for part, _, after in atoms:
+                run.append(part)
+                size += len(part)
+                if after >= _NATURAL:
+                    # a token has one byte at least, a character four at most
+                    strain = strain or 4 * size > limit and len("".join(run).encode("utf-8", "surrogatepass")) > limit and forced("".join(run), limit, encoder.count_batch)
+                    run, size = [], 0
         ranges = _merge(atoms, room)
         out, at, previous = [], 0, ""
         for a, b in ranges:
@@ -116,9 +131,9 @@ def split_text(text: str, encoder: ByteBpe, limit: int = LIMIT, overlap: int = O
             at += len(body)
             previous = shared + body
         sizes = encoder.count_batch([p[0] for p in out])
-        if max(sizes, default=0) <= limit or room <= 8:
-            return [(p, n, *rest) for (p, *rest), n in zip(out, sizes)]
-        room = max(8, room - (max(sizes) - limit))  # joining changed a count by a little: leave that much more room
+        if max(sizes, default=0) <= limit or room <= LEAST_ROOM:
+            return [(p, n, *rest) for (p, *rest), n in zip(out, sizes)], strain
+        room = max(LEAST_ROOM, room - (max(sizes) - limit))  # joining changed a count by a little: leave that much more room
 
 
 def _oversized(chunks: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
@@ -127,12 +142,16 @@ def _oversized(chunks: DataFrame, id_col: str, text_col: str, limit: int) -> Dat
 
 
 def split_pieces(chunks: DataFrame, *, id_col: str = "chunk_no", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, vocab: str = DEFAULT_VOCAB) -> DataFrame:
-    """(id_col, piece_no, n_tokens, start_char, shared_chars, natural, piece) of every text over `limit` tokens.
+    """(id_col, piece_no, n_tokens, start_char, shared_chars, natural, cut, piece) of every text over `limit` tokens.
 
     piece_no counts from 1; shared_chars is the overlap with the piece before (40 tokens, 0 for the first);
-    natural tells whether the cut before the piece is a line break or sentence end. Null, empty and small texts have
-    no pieces; repeated rows give repeated pieces. No shuffle.
+    natural tells whether the cut before the piece is a line break or sentence end; cut is 'forced' for all pieces of a
+    text with a stretch of more than `limit` tokens without either, else 'natural'. Null, empty and small texts have
+    no pieces; repeated rows give repeated pieces. No shuffle. limit must exceed overlap by 16 or more: a piece then holds
+    at least 8 tokens of its own, so that overlap, own tokens and what joining them adds stay within it.
     """
+    if limit < overlap + 2 * LEAST_ROOM:
+        raise ValueError("limit must exceed overlap by 16 or more")
     model = chunks.sparkSession.sparkContext.broadcast(model_from_file(vocab))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,35 +161,26 @@ def split_pieces(chunks: DataFrame, *, id_col: str = "chunk_no", text_col: str =
             rows, out = [], []
             for i, n in enumerate(encoder.count_batch(texts)):
                 if n > limit:
-                    pieces = split_text(texts[i], encoder, limit, overlap)
+                    pieces, strain = split_text(texts[i], encoder, limit, overlap)
                     rows += [i] * len(pieces)
-                    out += [(k, size, start, shared, natural, p) for k, (p, size, shared, start, natural) in enumerate(pieces, 1)]
-            columns = list(zip(*out)) if out else [()] * 6
-            types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
+                    cut = "forced" if strain else "natural"
+                    out += [(k, size, start, shared, natural, cut, p) for k, (p, size, shared, start, natural) in enumerate(pieces, 1)]
+            columns = list(zip(*out)) if out else [()] * 7
+            types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
             arrays = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(list(c), t) for c, t in zip(columns, types))]
-            yield pa.RecordBatch.from_arrays(arrays, [id_col, "piece_no", "n_tokens", "start_char", "shared_chars", "natural", "piece"])
+            yield pa.RecordBatch.from_arrays(arrays, [id_col, "piece_no", "n_tokens", "start_char", "shared_chars", "natural", "cut", "piece"])
 
-    schema = f"`{id_col}` {type_of(chunks, id_col)}, piece_no int, n_tokens int, start_char int, shared_chars int, natural boolean, piece string"
+    schema = f"`{id_col}` {type_of(chunks, id_col)}, piece_no int, n_tokens int, start_char int, shared_chars int, natural boolean, cut string, piece string"
     return _oversized(chunks, id_col, text_col, limit).mapInArrow(run, schema)
 
 
-def cut_kinds(chunks: DataFrame, *, id_col: str = "chunk_no", text_col: str = "text", limit: int = LIMIT, vocab: str = DEFAULT_VOCAB) -> DataFrame:
-    """(id_col, cut): for every text over `limit` tokens, 'forced' if a stretch over `limit` has no natural boundary."""
-    model = chunks.sparkSession.sparkContext.broadcast(model_from_file(vocab))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteBpe.of(model.value)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows = [i for i, n in enumerate(encoder.count_batch(texts)) if n > limit]
-            cut = ["forced" if longest_stretch(texts[i], encoder.count_batch) > limit else "natural" for i in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(cut, pa.string())], [id_col, "cut"])
-
-    return _oversized(chunks, id_col, text_col, limit).mapInArrow(run, f"`{id_col}` {type_of(chunks, id_col)}, cut string")
+def cut_kinds(pieces: DataFrame, *, id_col: str = "chunk_no") -> DataFrame:
+    """(id_col, cut) of every text that split_pieces has cut, one row per row of its input."""
+    return pieces.where("piece_no = 1").select(id_col, "cut")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_kinds(table(spark, sf_dir, "chunks"))
+    return cut_kinds(split_pieces(table(spark, sf_dir, "chunks")))
 
 
 def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

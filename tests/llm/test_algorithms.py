@@ -92,7 +92,7 @@ TEXTS = ["word " * 1500, "One sentence here. " * 300, "line of text\n" * 400, "x
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_pieces_fit_and_cover(encoder, text):
-    pieces = split_oversized.split_text(text, encoder)
+    pieces, _ = split_oversized.split_text(text, encoder)
     assert "".join(p[shared:] for p, _, shared, _, _ in pieces) == text
     assert all(n <= 400 for _, n, *_ in pieces) and len(pieces) > 1
     for (before, *_), (p, _, shared, start, _) in zip(pieces, pieces[1:]):
@@ -102,12 +102,37 @@ def test_pieces_fit_and_cover(encoder, text):
 
 def test_pieces_prefer_strong_boundaries(encoder):
     text = "\n\n".join(" ".join(f"Sentence {i} of {j} is here." for i in range(30)) for j in range(4))
-    assert all(natural for *_, natural in split_oversized.split_text(text, encoder))
+    assert all(natural for *_, natural in split_oversized.split_text(text, encoder)[0])
+
+
+HOSTILE = ["\u0301" * 3000, "\U0001f468\u200d\U0001f469" * 500, "\u0e01\u0e33" * 1500, "\U000e0041" * 900, "a\u0301\U0001f600 " * 900, "\u2028" * 2000, " \n" * 2000, ("x" * 7 + "\U0001f600") * 400]
+
+
+@pytest.mark.parametrize("text", HOSTILE)
+@pytest.mark.parametrize("limit, overlap", [(400, 40), (56, 40)])
+def test_hostile_pieces_fit_and_cover(encoder, text, limit, overlap):
+    pieces, _ = split_oversized.split_text(text, encoder, limit, overlap)
+    assert "".join(p[shared:] for p, _, shared, _, _ in pieces) == text
+    assert all(n <= limit and n == encoder.count_batch([p])[0] for p, n, *_ in pieces)
+
+
+def test_forced_against_stretches(encoder):
+    draw = random.Random(3)
+    for _ in range(300):
+        parts = [draw.choice(["word", "Wort,", "end.", "end. ", "\n", "\r\n", "  \n\n   ", "a!b", "x" * draw.randint(1, 90), " ", "12", "?", "; "]) + draw.choice(["", " "]) for _ in range(draw.randint(20, 400))]
+        text = "".join(parts)
+        want = max(encoder.count_batch(re.split(r"[\r\n]+|(?<=[.!?])\s+", text))) > 60
+        assert split_oversized.split_text(text, encoder, 60, 20)[1] == want
+
+
+def test_limit_must_leave_room(spark):
+    with pytest.raises(ValueError):
+        split_oversized.split_pieces(spark.createDataFrame([], "chunk_no long, text string"), limit=50)
 
 
 def test_split_tables(spark):
     df = clashing(spark.createDataFrame([(1, None), (2, ""), (3, "small"), (4, TEXTS[1]), (4, TEXTS[1]), (5, TEXTS[0])], "chunk_no long, text string"))
-    assert sorted(tuple(r) for r in split_oversized.cut_kinds(df).collect()) == [(4, "natural"), (4, "natural"), (5, "forced")]
+    assert sorted(tuple(r) for r in split_oversized.cut_kinds(split_oversized.split_pieces(df)).collect()) == [(4, "natural"), (4, "natural"), (5, "forced")]
     assert split_oversized.split_pieces(df.limit(0)).collect() == []
 
 
