@@ -1,8 +1,9 @@
 """Agreement and resampling: Cohen's kappa, bootstrap intervals, paired tests.
 
-A metric depends only on how many rows each cell (truth, prediction, types) holds, and there are few cells. A resample is
-therefore drawn against the cells' ranges: no row is joined, and beyond `exact_rows` the draws of a replicate are one
-multinomial draw per replicate, which has the same distribution and does not grow with the rows.
+A metric depends only on how many rows each cell (truth, prediction, types) holds, and there are few cells: 168 at most,
+once types outside the vocabulary are told apart only as far as metrics do. A resample is therefore drawn against the
+cells' shares: no row is joined. There is one way to draw at every size: a replicate's slots are hashed in blocks, which
+are tasks' work of their own, and only the cells' counts leave a block.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from docloom.functions import scores
 from docloom.plans.runtime import cut_lineage
 from docloom.schemas import CONFLICT_TYPES
 
-EXACT_ROWS = 1_000_000
+#: Slots of a replicate that are drawn together; a multiple of four.
+BLOCK_SLOTS = 1 << 20
 
 
 def kappa_value(n: Column, agree: Column, chance: Column) -> Column:
@@ -62,61 +64,66 @@ def kappa_confusion(pairs: DataFrame) -> DataFrame:
     return pairs.agg(cells.alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
+def plain_types(rows: DataFrame) -> DataFrame:
+    """t_true and t_pred with few values: those outside the vocabulary only as equal ('?same') or unequal ('?other')."""
+    known = lambda c: F.col(c).isNull() | F.col(c).isin(CONFLICT_TYPES)
+    t_pred = F.when(known("t_pred"), F.col("t_pred")).when(F.col("t_pred") == F.col("t_true"), "?same").otherwise("?other")
+    return rows.withColumns({"t_true": F.when(known("t_true"), F.col("t_true")).otherwise("?same"), "t_pred": t_pred})
+
+
 def cell_counts(rows: DataFrame, cell: list[str]) -> DataFrame:
     """(cell..., n): the distinct cells with their sizes, as a table of its own; their combinations must be few."""
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in cell) + ", n long"
     return rows.sparkSession.createDataFrame(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).collect(), schema)
 
 
-def drawn_rows(seed: int, b: int, total: int) -> np.ndarray:
-    """The rows that replicate b draws: md5(seed|b|j) modulo total for every slot j."""
-    hashes = (int.from_bytes(hashlib.md5(b"%d|%d|%d" % (seed, b, j)).digest()[:4], "big") for j in range(total))
-    return np.fromiter(hashes, np.int64, total) % max(total, 1)
+def drawn(seed: int, b: int, first: int, last: int) -> np.ndarray:
+    """What slots first..last - 1 of replicate b draw, out of 2^32: slot j has the j mod 4th word of md5(seed|b|j div 4)."""
+    digests = b"".join(hashlib.md5(b"%d|%d|%d" % (seed, b, q)).digest() for q in range(first // 4, -(-last // 4)))
+    return np.frombuffer(digests, ">u4")[first % 4 : first % 4 + last - first].astype(np.int64)
 
 
-def resample(rows: DataFrame, cell: list[str], *, order: list[str], replicates: int, seed: int = 42, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """(b, cell..., w): how often replicate b drew a row of each cell; n draws with replacement per replicate.
+def thresholds(sizes: list[int]) -> np.ndarray:
+    """The draw from which on each cell but the first begins: cells have their shares of 2^32, in their order."""
+    ends = np.cumsum([0, *sizes], dtype=object)
+    return np.array([-(-(int(e) << 32) // int(ends[-1])) for e in ends[1:-1]], np.int64)
 
-    rows may also be the cell_counts already.
 
-    cell columns must have few distinct values together (their combinations are collected). The draw of slot j in
-    replicate b is md5(seed|b|j) modulo n, an index into the cells in their order. All metrics over the result share
-    the same draws. No rows give no replicates.
+def resample(rows: DataFrame, cell: list[str], *, order: list[str], replicates: int, seed: int = 42, block_slots: int = BLOCK_SLOTS) -> DataFrame:
+    """(b, cell..., w): how often replicate b drew a row of each cell; n draws with replacement per replicate.
+
+    rows may also be the cell_counts already. cell columns must have few distinct values together (their combinations are
+    collected). A cell of a replicate has one row per block of block_slots draws, whose w add up. All metrics over the
+    result share the same draws. No rows give no replicates.
     """
     spark = rows.sparkSession
     sizes = rows if "n" in rows.columns else cell_counts(rows, cell)
     counts = sizes.orderBy(*(F.asc_nulls_first(c) for c in order)).collect()
     total = sum(r["n"] for r in counts)
-    bounds, ends = [], 0
-    for r in counts:
-        ends += r["n"]
-        bounds.append(ends)
     names = spark.createDataFrame([(i, *(r[c] for c in cell)) for i, r in enumerate(counts)], "k int, " + ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in cell))
-    shares, inner = np.diff([0, *bounds]) / max(total, 1), np.array(bounds[:-1], dtype=np.int64)
-
-    def slots(b: int) -> np.ndarray:
-        return np.bincount(np.searchsorted(inner, drawn_rows(seed, b, total), side="right"), minlength=len(bounds))
+    begins, blocks = thresholds([r["n"] for r in counts]) if total else None, max(1, -(-total // block_slots))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for b in part["id"]:
-                w = slots(int(b)) if total <= exact_rows else np.random.default_rng([seed, int(b)]).multinomial(total, shares)
+            for b, block in zip(part["id"] // blocks, part["id"] % blocks):
+                own = drawn(seed, int(b), int(block) * block_slots, min(total, (int(block) + 1) * block_slots))
+                w = np.bincount(np.searchsorted(begins, own, side="right"), minlength=len(counts))
                 yield pd.DataFrame({"b": int(b), "k": np.arange(len(w)), "w": w})[w > 0]
 
-    drawn = spark.range(replicates if total else 0).mapInPandas(run, "b int, k int, w long")
-    return drawn.join(F.broadcast(names), "k").select("b", *cell, "w")
+    each = spark.range(replicates * blocks if total else 0).mapInPandas(run, "b int, k int, w long")
+    return each.join(F.broadcast(names), "k").select("b", *cell, "w")  # as many names as cells
 
 
 CELL = ["y_true", "y_pred", "t_true", "t_pred"]
 
 
-def replicate_metrics(drawn: DataFrame, by: list[str] = []) -> DataFrame:
+def replicate_metrics(draws: DataFrame, by: list[str] = []) -> DataFrame:
     """Per replicate the seven headline metrics."""
     w = F.col("w")
     c = scores.cells(w)
     tp, fp, fn, tn = c["tp"], c["fp"], c["fn"], c["tn"]
     joint = scores.ratio(F.sum(F.when(scores.joint_correct(), w).otherwise(0)), F.sum(w))
-    wide = drawn.groupBy(*by, "b").agg(scores.ratio(tp, tp + fp).alias("precision"), scores.ratio(tp, tp + fn).alias("recall"), scores.f1(tp, fp, fn).alias("f1"), scores.macro_f1(tp, fp, fn, tn).alias("macro_f1"),
+    wide = draws.groupBy(*by, "b").agg(scores.ratio(tp, tp + fp).alias("precision"), scores.ratio(tp, tp + fn).alias("recall"), scores.f1(tp, fp, fn).alias("f1"), scores.macro_f1(tp, fp, fn, tn).alias("macro_f1"),
                                         scores.ratio(tp + tn, F.sum(w)).alias("accuracy"), joint.alias("joint_accuracy"), *scores.typology_cells(w))
     return wide.select(*by, "b", "precision", "recall", "f1", "macro_f1", "accuracy", F.when(F.col("n_eval") > 0, scores.typology_macro()).otherwise(0.0).alias("typology_macro_f1"), "joint_accuracy")
 
@@ -132,41 +139,42 @@ METRICS = ["precision", "recall", "f1", "macro_f1", "accuracy", "typology_macro_
 
 def bootstrap_intervals(aligned: DataFrame, *, replicates: int = 1000, seed: int = 42, metrics: list[str] = METRICS) -> DataFrame:
     """(metric, mean, low, high, n) of the headline metrics, all from the same draws."""
-    each = replicate_metrics(resample(aligned, CELL, order=CELL, replicates=replicates, seed=seed))
+    each = replicate_metrics(resample(plain_types(aligned), CELL, order=CELL, replicates=replicates, seed=seed))
     long = each.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics))).alias("m")).select("m.*")
     return intervals(long, ["metric"])
 
 
-def sweep_intervals(aligned: DataFrame, *, replicates: int = 100, representative: int = 42, full: int = 1000, seed: int = 42, block: int = 25, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def sweep_intervals(aligned: DataFrame, *, replicates: int = 100, representative: int = 42, full: int = 1000, seed: int = 42, some: int = 10, block_slots: int = BLOCK_SLOTS) -> DataFrame:
     """(seed, split, metric, mean, low, high, n): bootstrap_intervals of every seed and split of a sweep.
 
-    The representative seed has `full` replicates. As the sweep's seeds predict the same rows, replicate b of a split
-    draws the same slots for all of them; they are hashed once. A group is a split and a block of replicates.
+    The representative seed has `full` replicates. Slot j of replicate b draws the same for all seeds of a split and is
+    hashed once for them. A group is a split, `some` replicates and a block of slots.
     """
     cell = ["seed", "split", *CELL]
-    sizes = aligned.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((max(replicates, full) - 1) // block))).alias("block")
+    sizes = plain_types(aligned).groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    totals = sizes.groupBy("seed", "split").agg(F.sum("n").alias("total"))
     wanted = F.when(F.col("seed") == representative, full).otherwise(replicates)
-    each = sizes.select(*cell, "n", blocks).where(F.col("block") * block < wanted)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out, first, indices = [], int(part["block"].iloc[0]) * block, {}
-        for number, own in part.groupby("seed"):
-            own = own.sort_values(CELL, na_position="first")
-            bounds = np.cumsum(own["n"].to_numpy())
-            total, most = int(bounds[-1]), full if number == representative else replicates
-            for b in range(first, min(first + block, most)):
-                if total > exact_rows:
-                    w = np.random.default_rng([seed, b]).multinomial(total, own["n"].to_numpy() / total)
-                else:
-                    if (b, total) not in indices:
-                        indices[b, total] = drawn_rows(seed, b, total)
-                    w = np.bincount(np.searchsorted(bounds[:-1], indices[b, total], side="right"), minlength=len(bounds))
-                out.append(own[cell].assign(b=b, w=w)[w > 0])
+    work = totals.select("seed", "split", F.explode(F.sequence(F.lit(0), F.floor((wanted - 1) / some).cast("int"))).alias("part"), F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / block_slots)).alias("blocks"))
+    tasks = 4 * aligned.sparkSession.sparkContext.defaultParallelism
+    each = sizes.join(work.select("seed", "split", "part", F.explode("blocks").alias("block")), ["seed", "split"]).repartition(tasks, "split", "part", "block")
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        out, part, first = [], int(own["part"].iloc[0]), int(own["block"].iloc[0]) * block_slots
+        groups = []
+        for number, g in own.groupby("seed"):
+            g = g.sort_values(CELL, na_position="first")
+            sizes_ = g["n"].tolist()
+            groups.append((number, g[cell], sum(sizes_), thresholds(sizes_)))
+        for b in range(part * some, (part + 1) * some):
+            picks = drawn(seed, b, first, min(first + block_slots, max(total for _, _, total, _ in groups)))
+            for number, g, total, begins in groups:
+                if b < (full if number == representative else replicates):
+                    w = np.bincount(np.searchsorted(begins, picks[: max(0, total - first)], side="right"), minlength=len(g))
+                    out.append(g.assign(b=b, w=w)[w > 0])
         return pd.concat(out)[[*cell, "b", "w"]]
 
     kinds = ", ".join(f"{c} {aligned.schema[c].dataType.simpleString()}" for c in cell)
-    metrics = replicate_metrics(each.groupBy("split", "block").applyInPandas(run, f"{kinds}, b int, w long"), ["seed", "split"])
+    metrics = replicate_metrics(each.groupBy("split", "part", "block").applyInPandas(run, f"{kinds}, b int, w long"), ["seed", "split"])
     long = metrics.select("seed", "split", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS))).alias("m")).select("seed", "split", "m.*")
     return intervals(long, ["seed", "split", "metric"])
 
@@ -174,8 +182,8 @@ def sweep_intervals(aligned: DataFrame, *, replicates: int = 100, representative
 def kappa_interval(pairs: DataFrame, *, replicates: int = 1000, seed: int = 42) -> DataFrame:
     inside = pairs.where(F.col("a").isin(CONFLICT_TYPES) & F.col("b").isin(CONFLICT_TYPES))
     names = inside.select(F.col("a"), F.col("b").alias("b2"))
-    drawn = resample(names, ["a", "b2"], order=["a", "b2"], replicates=replicates, seed=seed).select(F.col("b").alias("rep"), "a", F.col("b2").alias("b"), "w")
-    value = kappa_cells(drawn, ["rep"], "w").select(kappa_value(F.col("n"), F.col("agree"), F.col("chance")).alias("value"))
+    each = resample(names, ["a", "b2"], order=["a", "b2"], replicates=replicates, seed=seed).select(F.col("b").alias("rep"), "a", F.col("b2").alias("b"), "w")
+    value = kappa_cells(each, ["rep"], "w").select(kappa_value(F.col("n"), F.col("agree"), F.col("chance")).alias("value"))
     return intervals(value, [])
 
 
@@ -195,8 +203,7 @@ def paired_bootstrap(paired: DataFrame, *, a: list[str] = ["y_a"], b: list[str]
 
     cell = ["y_true", *a, *b]
     sizes = cell_counts(paired, cell)
-    drawn = resample(sizes, cell, order=cell, replicates=replicates, seed=seed)
-    each = drawn.groupBy("b").agg(mean_f1(a, F.col("w")).alias("_a"), mean_f1(b, F.col("w")).alias("_c")).select("_a", "_c", (F.col("_a") - F.col("_c")).alias("d"))
+    each = resample(sizes, cell, order=cell, replicates=replicates, seed=seed).groupBy("b").agg(mean_f1(a, F.col("w")).alias("_a"), mean_f1(b, F.col("w")).alias("_c")).select("_a", "_c", (F.col("_a") - F.col("_c")).alias("d"))
     each = cut_lineage(each)  # one row per replicate
     points = sizes.agg(mean_f1(a, F.col("n")).alias("a"), mean_f1(b, F.col("n")).alias("b"), (mean_f1(a, F.col("n")) - mean_f1(b, F.col("n"))).alias("d")).first()
     seen = points["d"]

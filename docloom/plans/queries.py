@@ -316,7 +316,8 @@ def raw_agreement(spark, d):
 def _draws(source: str, cell: list[str], seed: int = 42, n: int = REPLICATES) -> str:
     order = ", ".join(f"{c} ASC NULLS FIRST" for c in cell)
     return f"""cells AS (SELECT *, sum(n) OVER (ORDER BY {order}) AS hi FROM (SELECT {', '.join(cell)}, count(*) AS n FROM {source} GROUP BY ALL)), total AS (SELECT count(*) AS n FROM {source}),
-slots AS (SELECT rep, ('0x' || substr(md5('{seed}|' || rep::VARCHAR || '|' || j::VARCHAR), 1, 8))::BIGINT % (SELECT n FROM total) AS i FROM range({n}) b(rep), (SELECT unnest(range((SELECT n FROM total))) AS j)),
+fours AS (SELECT rep, q, md5('{seed}|' || rep::VARCHAR || '|' || q::VARCHAR) AS h FROM range({n}) b(rep), (SELECT unnest(range(((SELECT n FROM total) + 3) // 4)) AS q)),
+slots AS (SELECT rep, (('0x' || substr(h, 8 * k + 1, 8))::BIGINT * (SELECT n FROM total)) >> 32 AS i FROM fours, (SELECT unnest(range(4)) AS k) WHERE 4 * q + k < (SELECT n FROM total)),
 drawn AS (SELECT rep, {', '.join(cell)}, count(*) AS w FROM slots JOIN cells ON i >= hi - n AND i < hi GROUP BY ALL)"""
 
 
@@ -328,7 +329,10 @@ _VALUES = "reps AS (SELECT rep, " + ", ".join(f"{x} AS m{i}" for i, x in enumera
 _INTERVAL = "round(avg(value), 9) AS mean, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high, count(*) AS n"
 
 
-@query(f"WITH {V.aligned_sql()}, {_draws('aligned', statistics.CELL)}, {_VALUES} SELECT metric, {_INTERVAL} FROM long GROUP BY metric")
+_PLAIN = f"""plain AS (SELECT y_true, y_pred, CASE WHEN t_true IS NULL OR t_true IN ({TYPES}) THEN t_true ELSE '?same' END AS t_true, CASE WHEN t_pred IS NULL OR t_pred IN ({TYPES}) THEN t_pred WHEN t_pred = t_true THEN '?same' ELSE '?other' END AS t_pred FROM aligned)"""
+
+
+@query(f"WITH {V.aligned_sql()}, {_PLAIN}, {_draws('plain', statistics.CELL)}, {_VALUES} SELECT metric, {_INTERVAL} FROM long GROUP BY metric")
 def bootstrap_intervals(spark, d):
     return statistics.bootstrap_intervals(V.aligned(spark, d), replicates=REPLICATES)
 
