@@ -243,23 +243,59 @@ def test_repeated_lines_against_brute_force(spark):
 @given(st.lists(st.lists(st.lists(st.sampled_from("abcd"), max_size=9), max_size=3), min_size=1, max_size=5), st.lists(st.lists(st.lists(st.sampled_from("abcde"), max_size=9), max_size=3), max_size=5))
 def test_index_search_against_brute_force(records, block):
     index = cross_split.FmIndex.from_bytes(cross_split.FmIndex(records).to_bytes())
-    got = {(a, b): c for a, b, c, *_ in cross_split.search(index, block)}
+    got = {(a, b): c for a, b, c, *_ in cross_split.search(index, cross_split.Block(block))}
     want = {}
     for (a, p), (b, q) in itertools.product(enumerate(block), enumerate(records)):
-        x, y = cross_split.gram_set(p), cross_split.gram_set(q)
+        x, y = gram_set(p), gram_set(q)
         if x and y and len(x & y) * 10 >= 7 * max(len(x), len(y)):
             want[a, b] = len(x & y)
     assert got == want
 
 
-def test_backward_search_counts(spark):
+def test_backward_search_counts():
     words = "a b a b c a b".split()
     index = cross_split.FmIndex([[words]])
     ids = np.array([index.words[w] for w in "a b".split()])
-    low, high = index.intervals(ids, 2)
+    low, high = index.intervals(ids, np.array([0]), 2)
     assert high[0] - low[0] == 3
-    found = cross_split.search(index, [[words]])
-    assert found == [(0, 0, len(cross_split.gram_set([words])), 1, 7, 7)]
+    found = cross_split.search(index, cross_split.Block([[words]]))
+    assert found == [(0, 0, len(gram_set([words])), 1, 7, 7)]
+
+
+def test_maximal_matches_of_each_record():
+    index = cross_split.FmIndex([["a b c d e".split()], ["x y z".split()]])
+    block = cross_split.Block([["a b c q x y z".split()], ["a b c d".split(), "x y z".split()], [["p"]]])
+    words = np.array([index.words.get(w, 0) if w else 1 for w in block.flat])
+    got = cross_split._maximal(index, words, block.owner, np.array([0, 1]), block.n)
+    assert got.T.tolist() == [[2, 3, 6], [2, 4, 7], [0, 0, 0]]
+
+
+def test_a_filter_keeps_every_sequence():
+    records = [[[f"w{i * k % 97}" for i in range(60)]] for k in range(1, 30)]
+    index = cross_split.FmIndex(records)
+    assert index.may_hold(cross_split.Block(records).gram).all()
+    strange = cross_split.Block([[[f"v{i}" for i in range(3000)]]])
+    assert index.may_hold(strange.gram).mean() < 0.3
+
+
+def test_overlaps_over_many_shards(spark):
+    draw, rows = random.Random(5), []
+    base = [[f"w{draw.randint(0, 400)}" for _ in range(draw.choice([5, 20, 60, 200]))] for _ in range(40)]
+    for i in range(160):
+        words = [w if draw.random() > 0.04 else "new" for w in base[i % 40]]
+        rows.append((i, draw.choice(["train", "train", "val", "test"]), None, evidence(" ".join(words)), None))
+    e = "array<struct<chunk_id:string,source_doc:string,page:int,passage:string>>"
+    df = spark.createDataFrame(rows, f"record_no long, split string, pair_id string, evidence_a {e}, evidence_b {e}")
+    sets = {r[0]: gram_set(cross_split.passage_words([r[3][0][3]])) for r in rows}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[1] == "train" and b[1] != "train" and len(sets[a[0]] & sets[b[0]]) * 10 >= 7 * max(len(sets[a[0]]), len(sets[b[0]])) > 0}
+    for shard_words in (200, 10**6):
+        members, matches = cross_split.near_same(df, shard_words=shard_words, maximal=False)
+        left, right = members.where("is_train").toDF("t", "x", "train"), members.where("not is_train").toDF("o", "y", "other")
+        assert {(r["t"], r["o"]) for r in matches.join(left, "train").join(right, "other").collect()} == want
+
+
+def gram_set(passages):
+    return {tuple(w[i : i + 3]) for w in passages for i in range(len(w) - 2)}
 
 
 def evidence(*passages):
