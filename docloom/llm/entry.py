@@ -1,13 +1,18 @@
-"""Queries of the training-data operators, and the SQL of those that SQL can express."""
+"""Queries of the training-data operators, and the SQL of those that SQL can express.
+
+A module whose library is not installed (a tokenizer, say) is left out with a warning; the others stay.
+"""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from importlib import import_module
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Query name -> module of this subpackage.
+#: Query name -> module of this subpackage.
 QUERIES = {
     "p1_found": "cross_split",
     "p1_report": "cross_split",
@@ -31,10 +36,20 @@ QUERIES = {
 }
 
 
+def _modules() -> dict[str, ModuleType]:
+    found: dict[str, ModuleType] = {}
+    for name in dict.fromkeys(QUERIES.values()):
+        try:
+            found[name] = import_module(f"docloom.llm.{name}")
+        except ImportError as missing:
+            warnings.warn(f"docloom.llm.{name} is left out: {missing}")
+    return found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(import_module(f"docloom.llm.{module}"), name) for name, module in QUERIES.items()}
+    modules = _modules()
+    return {name: getattr(modules[module], name) for name, module in QUERIES.items() if module in modules}
 
 
 def oracle_sql() -> dict[str, str]:
-    modules = {module: import_module(f"docloom.llm.{module}") for module in QUERIES.values()}
-    return {name: sql for module in modules.values() for name, sql in getattr(module, "SQL", {}).items()}
+    return {name: sql for module in _modules().values() for name, sql in getattr(module, "SQL", {}).items()}

@@ -2,11 +2,13 @@
 
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
-from conftest import DATA, same_rows
+from conftest import DATA, ROOT, same_rows
 
 from docloom.llm import bpe, entry
 
@@ -122,3 +124,11 @@ def test_texts_stay_where_they_are(spark, tmp_path, name, moves):
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert plan.count("Exchange hashpartitioning") == moves and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("library, lost", [("sentencepiece", {"p5_found", "p7_found", "p8_ids"}), ("regex", {"p5_found", "p7_found", "p8_ids"}), ("tiktoken", set())])
+def test_a_missing_library_costs_only_its_own_queries(library, lost):
+    code = f"import sys, warnings; warnings.simplefilter('ignore'); sys.modules[{library!r}] = None; import __spark_entry__ as e; print(*e.queries()); e.oracle_sql()"
+    said = subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120, capture_output=True, text=True).stdout.split()
+    assert {"binary_metrics", "p1_found", "p2_found", "p10_found"} <= {*said}
+    assert {q for q in QUERIES if q.split("_")[0] in {x.split("_")[0] for x in lost}} == {*QUERIES} - {*said}
