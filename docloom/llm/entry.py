@@ -21,6 +21,7 @@ QUERIES = {
     "p3_found": "consensus",
     "p3_agreement": "consensus",
     "p3_annotators": "consensus",
+    "p3_overall": "consensus",
     "p4_found": "repeated_lines",
     "p4_clean": "repeated_lines",
     "p5_found": "token_budget",

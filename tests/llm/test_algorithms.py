@@ -409,10 +409,45 @@ def test_consensus_beats_the_majority(spark):
     share = lambda said: sum(said[f"p{i}"] == k[truth[i]] for i in range(n)) / n
     majority = share({i: max(sorted(set(v)), key=v.count) for i, v in votes.items()})
     assert share(got) > majority + 0.05 and share(got) > 0.93
+    by_joins, people_ = consensus.consensus(spark.createDataFrame(rows, PASS), most_people=5)
+    for left, right, key in ((items, by_joins, "item"), (people, people_, "person")):
+        own, other = ({r[key]: r.asDict() for r in df.collect()} for df in (left, right))
+        assert own.keys() == other.keys()
+        assert all(v == (pytest.approx(other[x][c], abs=1e-9) if isinstance(v, float) else other[x][c]) for x, r in own.items() for c, v in r.items())
     reliability = {r["person"]: r["competence"] for r in people.collect()}
     assert min(reliability["A0"], reliability["A1"]) > max(reliability["A2"], reliability["A3"], reliability["A4"])
 
 
+def test_rounds_by_label_habits_gain(spark):
+    """Annotators who confuse labels in their own ways: the first consensus is worse than the one after the rounds."""
+    rng, k, n = np.random.default_rng(1), consensus.CLASSES, 1500
+    truth, skill, mixed = rng.choice(4, n, p=[0.4, 0.3, 0.2, 0.1]), rng.uniform(0.45, 0.95, 10), [rng.dirichlet(np.full(4, 0.5), 4) for _ in range(10)]
+    rows = []
+    for i in range(n):
+        for p in rng.choice(10, 4, replace=False):
+            label = truth[i] if rng.random() < skill[p] else rng.choice(4, p=mixed[p][truth[i]])
+            rows.append((len(rows), f"p{i}", f"A{p}", k[label], 1, None, None))
+    df = spark.createDataFrame(rows, PASS)
+    right = [sum(k[truth[int(r["item"][1:])]] == r["label"] for r in consensus.consensus(df, rounds=x)[0].collect()) / n for x in (0, consensus.ROUNDS)]
+    assert right[1] > right[0] + 0.005
+
+
+def test_agreement_beyond_chance(spark):
+    """Krippendorff's alpha from its coincidences."""
+    a, b = consensus.CLASSES[:2]
+    said = [[a, a], [b, b], [a, b, b], [a, a, a, a], [b]]
+    rows = [(10 * i + j, f"p{i}", f"A{j}", label, 1, None, None) for i, own in enumerate(said) for j, label in enumerate(own)]
+    got = consensus.overall_agreement(spark.createDataFrame(rows, PASS)).first()
+    kept = [own for own in said if len(own) > 1]
+    n = sum(map(len, kept))
+    observed = sum(sum(x == y for x, y in itertools.permutations(own, 2)) / (len(own) - 1) for own in kept) / n
+    flat = [x for own in kept for x in own]
+    chance = sum(x == y for x, y in itertools.permutations(flat, 2)) / (n * (n - 1))
+    assert (got["n_items"], got["n_votes"]) == (4, n)
+    assert (got["observed"], got["chance"], got["alpha"]) == tuple(pytest.approx(x, abs=1e-8) for x in (observed, chance, (observed - chance) / (1 - chance)))
+    assert consensus.overall_agreement(spark.createDataFrame([], PASS)).first()["alpha"] is None
+
+
 PAGES = "doc_id string, pages array<struct<page:int,text:string>>, extracted_at timestamp"
 BODY = "the custodian must record every transfer of the register in writing and keep the point-of-sale notice for the supervisor".split()
 
