@@ -12,7 +12,6 @@ a filter over the shard's sequences tells which records can reach the share ther
 
 from __future__ import annotations
 
-import hashlib
 import io
 import math
 import re
@@ -27,6 +26,7 @@ import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.hashes import MULT, mix, word_hashes
 from docloom.plans.runtime import cut_lineage, shared_dir, spread, table
 
 SHARE = 0.7
@@ -35,36 +35,16 @@ GRAM = 3
 #: Words of one index shard (about 13 bytes each in memory) and of the training block searched at a time.
 SHARD_WORDS, BLOCK_WORDS = 1_000_000, 1_000_000
 
-#: Words whose hashes a worker keeps; beyond it the memory is filled anew, results do not change.
-REMEMBERED = 1_000_000
-
 #: Bits of a shard's filter per sequence, at least.
 FILTER_BITS = 8
 
 _WORDS = re.compile(r"[^\W_]+").findall
-_MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def passage_words(passages: list[str | None] | None) -> list[list[str]]:
     return [_WORDS(p.lower()) for p in passages or [] if p]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(30))
-
-
-_HASHES: dict[str, int] = {}
-
-
-def _word_hash(word: str) -> int:
-    if len(_HASHES) >= REMEMBERED:
-        _HASHES.clear()
-    own = _HASHES[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") | 1
-    return own
-
-
 class Block:
     """Records side by side: their words, and the distinct three-word sequences of each by 64-bit hashes.
 
@@ -83,15 +63,14 @@ class Block:
                 whose.append(r)
         self.n = len(records)
         self.owner = np.repeat(np.array(whose, np.int64), np.array(lengths, np.int64))
-        known = _HASHES.get
-        h = np.array([(known(w) or _word_hash(w)) if w else 0 for w in self.flat], np.uint64)
+        h = word_hashes(self.flat)
         n = max(0, len(h) - GRAM + 1)
         gram, whole = np.zeros(n, np.uint64), np.ones(n, bool)
         for k in range(GRAM):
-            gram = gram * _MULT + h[k : k + n]
+            gram = gram * MULT + h[k : k + n]
             whole &= h[k : k + n] != 0
         at = np.flatnonzero(whole)
-        gram = _mix(gram[at])
+        gram = mix(gram[at])
         own = self.owner[at]
         first = np.sort(np.unique(gram + own.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), return_index=True)[1])
         self.of, self.at, self.gram = own[first], at[first], gram[first]
@@ -102,7 +81,7 @@ class Block:
         out: list[bytes | None] = [None] * self.n
         begin = np.flatnonzero(np.diff(self.of, prepend=-1))
         if len(begin):
-            sums = np.stack([np.add.reduceat(_mix(self.gram * m), begin) for m in (_MULT, np.uint64(0xC2B2AE3D27D4EB4F))], axis=1)
+            sums = np.stack([np.add.reduceat(mix(self.gram * m), begin) for m in (MULT, np.uint64(0xC2B2AE3D27D4EB4F))], axis=1)
             for r, own in zip(self.of[begin], np.ascontiguousarray(sums)):
                 out[r] = own.tobytes()
         return out

@@ -162,6 +162,28 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaks(d, i.limit(0)).collect() == [] and leaks.leaks(d.limit(0), i).collect() == []
 
 
+def test_one_window_in_many_items(spark):
+    """Fifty thousand items hold one window, and so do a few documents; all pairs come out, with their windows."""
+    window = " ".join(f"w{i}" for i in range(12))
+    items = spark.range(50_000).select(F.col("id").alias("item_id"), F.concat(F.lit(window + " own"), F.col("id").cast("string")).alias("text"))
+    docs = spark.createDataFrame([(1, "a " + window + " b"), (2, "x " + window + " own7"), (3, window[3:])], "doc_id long, text string")
+    got = leaks.leaks(docs, items)
+    assert {tuple(r) for r in got.groupBy("doc_id", "windows").count().collect()} == {(1, 1, 50_000), (2, 1, 49_999), (2, 2, 1)}
+
+
+def test_filters_beyond_what_is_kept(spark, monkeypatch, tmp_path):
+    """Blocks whose filters are read again and again, and opened one at a time, give the same pairs."""
+    items = spark.createDataFrame([(i, " ".join(f"v{i}x{j}" for j in range(10 + i))) for i in range(30)], "item_id long, text string")
+    path = leaks.item_blocks(items, "item_id", "text", leaks.RUN, leaks.SHINGLE, 200)
+    monkeypatch.setattr(leaks, "KEPT_FILTERS", 100)
+    monkeypatch.setattr(leaks, "KEPT_BLOCKS", 1)
+    shelf, texts = leaks.Shelf(path), [[f"v{i}x{j}" for j in range(10 + i)] for i in range(30)]
+    assert not shelf.held
+    met = list(shelf.found(leaks.Windows(texts, leaks.RUN, leaks.SHINGLE)))
+    got = {(int(t), int(i)) for number, found in met for row, item, _ in shelf.block(number).pairs(found) for t, i in zip(row, item)}
+    assert len(met) > 5 and len(shelf.blocks) == 1 and got == {(i, i) for i in range(2, 30)}
+
+
 def shared_brute(docs, span):
     owner = {}
     for d, t in docs:
