@@ -411,20 +411,28 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per split and issuing body of regime_a: the records that overlap training, the pairs, and how they overlap."""
+    """Per split and issuing body of regime_a: the records that overlap training, and the pairs by id and by evidence."""
     records = table(spark, sf_dir, "labelled_pairs")
     named = records.select(F.col("record_no").alias("other_no"), "split", F.nullif(F.lower(F.trim("regime_a.issuing_body")), F.lit("")).alias("issuing_body"))
-    return overlaps(records).join(named, "other_no").groupBy("split", "issuing_body").agg(
-        F.count_distinct("other_no").alias("n_records"), F.count(F.lit(1)).alias("n_pairs"), F.count_if("same_id").alias("by_id"), F.count_if("same_text").alias("by_text"), F.max("longest").alias("longest_match"))
+    return overlaps(records, maximal=False).join(named, "other_no").groupBy("split", "issuing_body").agg(F.count_distinct("other_no").alias("n_records"), F.count(F.lit(1)).alias("n_pairs"), F.count_if("same_id").alias("by_id"), F.count_if("same_text").alias("by_text"))
 
 
-SQL = {
-    "p1_found": r"""WITH recs AS (SELECT record_no, split = 'train' AS is_train, lower(trim(pair_id)) AS key, list_transform(list_concat(coalesce(evidence_a, []), coalesce(evidence_b, [])), lambda e: regexp_extract_all(lower(e.passage), '[\p{L}\p{N}]+')) AS ps FROM labelled_pairs WHERE split IS NOT NULL),
+def p1_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per training record with overlapping evidence: the maximal matches with evaluation evidence of about its size."""
+    found = overlaps(table(spark, sf_dir, "labelled_pairs")).where("same_text")
+    return found.groupBy(F.col("train_no").alias("record_no")).agg(F.count(F.lit(1)).alias("n_records"), *(F.max(c).alias(c) for c in ("matches", "longest", "matched")))
+
+
+_PAIRS_SQL = r"""recs AS (SELECT record_no, split, nullif(lower(trim(regime_a.issuing_body)), '') AS issuing_body, split = 'train' AS is_train, lower(trim(pair_id)) AS key, list_transform(list_concat(coalesce(evidence_a, []), coalesce(evidence_b, [])), lambda e: regexp_extract_all(lower(e.passage), '[\p{L}\p{N}]+')) AS ps FROM labelled_pairs WHERE split IS NOT NULL),
 ws AS (SELECT record_no, is_train, unnest(ps) AS w FROM recs),
 grams AS (SELECT DISTINCT record_no, is_train, g FROM (SELECT record_no, is_train, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS g FROM ws WHERE len(w) >= 3)),
 sizes AS (SELECT record_no, count(*) AS n FROM grams GROUP BY record_no),
 common AS (SELECT a.record_no AS t, b.record_no AS o, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.is_train AND NOT b.is_train GROUP BY ALL),
 near AS (SELECT t, o FROM common JOIN sizes x ON t = x.record_no JOIN sizes y ON o = y.record_no WHERE c * 10 >= 7 * greatest(x.n, y.n)),
-ids AS (SELECT a.record_no AS t, b.record_no AS o FROM recs a JOIN recs b ON a.key = b.key AND a.is_train AND NOT b.is_train)
-SELECT least(t, o) AS record_no_1, greatest(t, o) AS record_no_2 FROM (SELECT * FROM near UNION SELECT * FROM ids)"""
+ids AS (SELECT a.record_no AS t, b.record_no AS o FROM recs a JOIN recs b ON a.key = b.key AND a.is_train AND NOT b.is_train)"""
+
+SQL = {
+    "p1_found": f"WITH {_PAIRS_SQL} SELECT least(t, o) AS record_no_1, greatest(t, o) AS record_no_2 FROM (SELECT * FROM near UNION SELECT * FROM ids)",
+    "p1_report": f"""WITH {_PAIRS_SQL}, pairs AS (SELECT t, o, max(i) AS i, max(n) AS n FROM (SELECT t, o, FALSE AS i, TRUE AS n FROM near UNION ALL SELECT t, o, TRUE, FALSE FROM ids) GROUP BY ALL)
+SELECT split, issuing_body, count(DISTINCT o) AS n_records, count(*) AS n_pairs, count(*) FILTER (i) AS by_id, count(*) FILTER (n) AS by_text FROM pairs JOIN recs ON o = record_no GROUP BY ALL""",
 }

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES = {
     "p1_found": "cross_split",
     "p1_report": "cross_split",
+    "p1_spans": "cross_split",
     "p2_found": "grouped_splits",
     "p2_splits": "grouped_splits",
     "p3_found": "consensus",

@@ -300,10 +300,13 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(items.select("item_id", "split", "lang"), "item_id")
 
 
-SQL = {
-    "p9_found": r"""WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM eval_items WHERE text IS NOT NULL),
+_WINDOWS_SQL = r"""iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM eval_items WHERE text IS NOT NULL),
 ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw)),
 dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
-dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw))
-SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw))"""
+
+SQL = {
+    "p9_found": f"WITH {_WINDOWS_SQL} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
+    "p9_items": f"""WITH {_WINDOWS_SQL}, c AS (SELECT doc_id, item_id, count(*) AS n FROM dg JOIN ig USING (g) GROUP BY ALL), f AS (SELECT item_id, count(*) AS n_documents, max(n)::INT AS most_windows FROM c GROUP BY item_id)
+SELECT item_id, n_documents, most_windows, split, lang FROM f JOIN eval_items USING (item_id)""",
 }
