@@ -35,6 +35,7 @@ QUERIES = {
     "p9_found": "leaks",
     "p9_items": "leaks",
     "p10_found": "shared_spans",
+    "p10_spans": "shared_spans",
 }
 
 

@@ -17,15 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.plans.runtime import SMALL_ROWS, cut_lineage, if_small, portions, spread, table, type_of
 
 SPAN, GEAR = 200, 64
 
-#: Characters that are hashed at once.
-BATCH_CHARS = 1 << 19
+#: Characters that are hashed at once, about; and the bits that number their places, the same for all batches, so that a
+#: window chooses the same cut point wherever it stands.
+BATCH_CHARS, PLACE_BITS = 1 << 19, 21
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -95,7 +96,9 @@ def chunk_texts(texts: list[str], span: int = SPAN, gear: int = GEAR, own: list[
     rolled = hashed.gear(gear)
     if hashed.n < span:
         return tuple(np.zeros(0, np.int64) for _ in range(9))
-    bits = np.uint64(max(1, int(len(rolled)).bit_length()))
+    if len(rolled) >> PLACE_BITS:
+        raise ValueError("too many characters at once")
+    bits = np.uint64(PLACE_BITS)
     ranked = (_mix(rolled) >> bits << bits) | np.arange(len(rolled), dtype=np.uint64)
     cut = (_sliding_min(ranked, span - gear + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[: len(cut)]
@@ -165,7 +168,27 @@ def _stretch(rows: DataFrame, span: int) -> DataFrame:
     return rows.select("doc", _start(place).alias("start"), (_start(place) + _windows(place) - 1 + span).alias("end"))
 
 
-def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gear: int = GEAR) -> DataFrame:
+def _cut_out(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
+    """(doc, cut, many, start, n, lead, text): the wanted chunks of each document, cut out of its text in one go."""
+    rows = docs.where(F.length(text_col) >= span).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc").select("doc", "text", "wanted")
+    kinds = {"doc": type_of(docs, id_col), "cut": "long", "many": "boolean", "start": "long", "n": "long", "lead": "long", "text": "string"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, own = batch.column(1)[i].as_py(), batch.column(2)[i].values
+                for at in range(0, len(own), 20_000):
+                    part = own.slice(at, 20_000).flatten()
+                    place = part[1].to_numpy()
+                    start, n = place >> 20, place >> 10 & 1023
+                    cuts = [text[a:b] for a, b in zip(start.tolist(), (start + n - 1 + span).tolist())]
+                    columns = [batch.column(0).take(pa.array(np.full(len(cuts), i))), part[0], part[2], pa.array(start), pa.array(n), pa.array(place & 1023), pa.array(cuts, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, list(kinds))
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+
+
+def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gear: int = GEAR, small_rows: int = SMALL_ROWS) -> DataFrame:
     """(doc, start, end): places, as code points, of stretches of `span` or more characters found in another document.
 
     Stretches of one document may overlap or touch. Characters count exactly as they stand. Null and short texts have
@@ -178,7 +201,7 @@ def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     if not gear < span <= 1000:
         raise ValueError("gear < span <= 1000 is needed")
     cuts = chunk_rows(docs, id_col, text_col, span, gear, full=False).groupBy("cut").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("cut")
-    met = cut_lineage(chunk_rows(docs, id_col, text_col, span, gear, full=True).join(if_small(cuts), "cut"))
+    met = cut_lineage(chunk_rows(docs, id_col, text_col, span, gear, full=True).join(if_small(cuts, small_rows), "cut"))
 
     # digests of two documents are shared as a whole
     kinds = met.groupBy("cut", "digest").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min(F.struct("doc", "place")).alias("one"))
@@ -196,11 +219,8 @@ def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     answers = many.join(asked.select("cut").distinct(), "cut", "left_semi").select("one.doc", "cut", "one.place", F.lit(True).alias("many"))
     requests = cut_lineage(asked.withColumn("many", F.lit(False)).unionByName(answers))
     wanted = requests.groupBy("doc").agg(F.collect_list(F.struct("cut", "place", "many")).alias("wanted"))
-    wanted = F.broadcast(wanted) if requests.count() <= SMALL_ROWS else wanted
-    place = F.col("w.place")
-    chunks = docs.where(F.length(text_col) >= span).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc").select("doc", "text", F.explode("wanted").alias("w"))
-    chunks = chunks.select("doc", "w.cut", "w.many", _start(place).alias("start"), _windows(place).alias("n"), place.bitwiseAND(F.lit(1023)).alias("lead"), "text")
-    chunks = cut_lineage(chunks.withColumn("text", F.substring("text", F.col("start") + 1, F.col("n") - 1 + span)))
+    wanted = F.broadcast(wanted) if requests.count() <= small_rows else wanted
+    chunks = cut_lineage(_cut_out(docs, wanted, id_col, text_col, span))
     return whole.unionByName(_compared(chunks, span, gear))
 
 
@@ -258,13 +278,32 @@ def shared_length(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc").agg(F.aggregate(ordered, zero, add, lambda s: s["sum"]).cast("int").alias("shared"))
 
 
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """(doc, start, end): the spans of each document, those that overlap or touch as one."""
+    before = Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = spans.withColumn("_far", F.max("end").over(before)).withColumn("_new", F.coalesce(F.col("start") > F.col("_far"), F.lit(True)).cast("int"))
+    numbered = fresh.withColumn("_island", F.sum("_new").over(Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("doc", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_length(shared_spans(table(spark, sf_dir, "documents"))).select(F.col("doc").alias("doc_id"), F.col("shared").alias("shared_chars"))
 
 
+def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared stretches of every document, from start (counted from 0) up to end."""
+    return merged_spans(shared_spans(table(spark, sf_dir, "documents"))).select(F.col("doc").alias("doc_id"), "start", "end")
+
+
+_HITS_SQL = """w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+common AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),"""
+
 SQL = {
-    "p10_found": """WITH w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
-common AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+    "p10_found": f"""WITH {_HITS_SQL}
 hits AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM w SEMI JOIN common USING (h))
-SELECT doc_id, sum(least(200, coalesce(following - i, 200)))::INT AS shared_chars FROM hits GROUP BY doc_id"""
+SELECT doc_id, sum(least(200, coalesce(following - i, 200)))::INT AS shared_chars FROM hits GROUP BY doc_id""",
+    "p10_spans": f"""WITH {_HITS_SQL}
+hits AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, TRUE)::INT AS fresh FROM w SEMI JOIN common USING (h)),
+islands AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM hits)
+SELECT doc_id, min(i) - 1 AS start, max(i) + 199 AS "end" FROM islands GROUP BY doc_id, island""",
 }

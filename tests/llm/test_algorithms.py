@@ -211,8 +211,24 @@ def test_shared_spans_against_brute_force(spark, span, gear):
         docs[i] = (i, docs[i][1][:at] + common[a : a + n] + docs[i][1][at:])
     docs += [(100, None), (101, ""), (102, "z" * 4 * span), (103, "z" * 2 * span + "y"), (104, "é😀字" * span), (105, "q" + "é😀字" * span), (106, text(3 * span) * 2), (107, common), (108, common), (109, common + "!")]
     df = clashing(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
-    got = {r["doc"]: r["shared"] for r in shared_spans.shared_length(shared_spans.shared_spans(df, span=span, gear=gear)).collect()}
-    assert got == shared_brute(docs, span)
+    for small_rows in (shared_spans.SMALL_ROWS, 0):  # sides broadcast, and shuffled
+        spans = shared_spans.shared_spans(df, span=span, gear=gear, small_rows=small_rows)
+        assert {r["doc"]: r["shared"] for r in shared_spans.shared_length(spans).collect()} == shared_brute(docs, span)
+    merged, ends = sorted(tuple(r) for r in shared_spans.merged_spans(spans).collect()), {}
+    for doc, start, end in merged:
+        assert start > ends.get(doc, -1)
+        ends[doc] = end
+    assert {d: sum(e - s for x, s, e in merged if x == d) for d in ends} == shared_brute(docs, span)
+
+
+def test_a_long_document_with_many_requests(spark):
+    """One text of ten million characters, of which many others hold some four hundred each: some 10,000 requests to it."""
+    rng = np.random.default_rng(4)
+    long = rng.integers(97, 122, 10_000_000, np.uint8).tobytes().decode()
+    at = rng.choice(9_999, 3_000, replace=False) * 1000
+    docs = spark.createDataFrame([(0, "é" + long), *((int(i) + 1, f"<{long[a : a + 400]}>") for i, a in enumerate(at))], "doc_id long, text string")
+    got = {r["doc"]: r["shared"] for r in shared_spans.shared_length(shared_spans.shared_spans(docs)).collect()}
+    assert got == {0: 400 * 3_000} | {i + 1: 400 for i in range(3_000)}
 
 
 def test_shared_spans_of_nothing(spark):
