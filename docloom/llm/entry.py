@@ -25,6 +25,8 @@ QUERIES = {
     "p3_overall": "consensus",
     "p4_found": "repeated_lines",
     "p4_clean": "repeated_lines",
+    "p4_lines": "repeated_lines",
+    "p4_near": "repeated_lines",
     "p5_found": "token_budget",
     "p5_totals": "token_budget",
     "p6_found": "scanned_pages",

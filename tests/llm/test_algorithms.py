@@ -352,6 +352,39 @@ def test_overlaps(spark):
     assert cross_split.overlaps(df.limit(0)).collect() == [] and cross_split.overlaps(df.where("split = 'train'")).collect() == []
 
 
+@pytest.mark.parametrize("line, want", [("Published on 3 May 2021 by the office of John Q. Smith for all readers", "published on # by the office of @ for all readers"), ("Section Penalties", "section penalties"), ("page 12/34 of the printed edition kept here", "page # of the printed edition kept here"),
+                                        ("May contain errors that the office of 2 May 2020 did not see", "may contain errors that the office of # did not see"), ("Mail a@b to the four other people", "mail a b to the four other people"), ("12.05.2020", "#")])
+def test_masks(line, want):
+    assert " ".join(repeated_lines.masked_words(line)) == want
+
+
+def test_near_lines_against_brute_force(spark):
+    """Planted near-duplicates: found where the brute-force cluster of a planted line is in enough documents."""
+    rng = random.Random(9)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in "rstz"]
+    planted = [[rng.choice(vocabulary) for _ in range(24)] for _ in range(12)]
+    rows, no = [], 0
+    near = set()
+    for d in range(60):
+        lines = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 25))) for _ in range(8)]
+        for k, base in enumerate(planted):
+            if d % 3 == k % 3:  # in a third of the documents, the last word or a number and a name changed
+                line = base[:-1] + [rng.choice(vocabulary)] if rng.random() < 0.5 else base[:12] + [str(rng.randrange(99)), "Anna"[: rng.randrange(3, 5)] + " Berg"] + base[12:]
+                lines.append(" ".join(line))
+                near.add((d, len(lines)))
+        rows.append((d, f"d{d}", " Body" if d % 2 else "body ", "\n".join(lines)))
+    rows += [(100, None, "body", "x"), (101, "d1", None, "y"), (102, "d2", "body", None), (103, "d3", "body", " \n12\n")]
+    df = clashing(spark.createDataFrame(rows, "chunk_no long, doc_id string, issuing_body string, text string"))
+    got = {tuple(r) for r in repeated_lines.near_repeated_lines(df).collect()}
+    masks = {(r[0], no): repeated_lines.masked_words(line) for r in rows if r[2] and r[3] for no, line in enumerate(r[3].split("\n"), 1) if re.search("[a-z]", line)}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in masks.items()}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    clusters = {k: {d for (d, _), other in sets.items() if alike(own, other)} for k, own in sets.items()}
+    want = {k for k, docs in clusters.items() if len(docs) >= 6}
+    assert near <= want and len(got & near) >= 0.9 * len(near) and got <= want
+    assert repeated_lines.near_repeated_lines(df.limit(0)).collect() == []
+
+
 def union_find(edges):
     parent = {}
 
