@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,15 +24,16 @@ def held_out(review: str = "review") -> Column:
     return F.col(f"{review}.reviewer_id").isNotNull()
 
 
-def stratified_split(records: DataFrame, *, id_col: str = "record_no", seed: int = 42, proportions: dict[str, float] = PROPORTIONS, buckets: int = 64) -> DataFrame:
+def stratified_split(records: DataFrame, *, id_col: str = "record_no", seed: int = 42, proportions: dict[str, float] = PROPORTIONS, bucket_rows: int = 100_000) -> DataFrame:
     """(id_col, stratum, split, position): every record, in each stratum floor(n * p) to each split, leftovers one by one
     to the splits in descending proportion.
 
-    The order within a stratum is that of md5(seed|id). Ranks come from counts per leading hash byte and the place within
-    it, so a large stratum is no single task's.
+    The order within a stratum is that of md5(seed|id). Ranks come from counts per leading hash digits and the place within
+    them; there are as many digits as it takes for about bucket_rows rows in each, so a large stratum is no single task's.
     """
+    digits = min(7, max(1, math.ceil(math.log(max(1, records.count() / bucket_rows), 16))))
     hashed = records.select(F.col(id_col), stratum().alias("stratum"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("_h"))
-    hashed = hashed.withColumn("_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
+    hashed = hashed.withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int"))
     counts = hashed.groupBy("stratum", "_b").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("stratum").orderBy("_b")
     base = counts.select("stratum", "_b", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("n").over(Window.partitionBy("stratum")).alias("_n"))
