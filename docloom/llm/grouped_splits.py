@@ -22,6 +22,12 @@ TARGETS = {"train": 70, "validation": 15, "test": 15}
 #: Edges that one task merges at most; a larger contracted graph takes a round of star joins first.
 TASK_EDGES = 2_000_000
 
+#: Edges of one part of the lowest level, about; its parts at least; and parts that one of the next level merges.
+PART_EDGES, LEAST_PARTS, FAN_IN = 500_000, 16, 4
+
+#: Groups of one size that one task ranks, about.
+BUCKET_GROUPS = 100_000
+
 
 def clean_id(column: F.Column | str) -> F.Column:
     """An id in upper case with single underscores as separators; null, blank and '?' are no id."""
@@ -55,13 +61,19 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([root(x) for x in part], pa.string())], ["node", "root"])
 
 
-def components(edges: DataFrame, *, task_edges: int = TASK_EDGES) -> DataFrame:
+def components(edges: DataFrame, *, task_edges: int = TASK_EDGES, part_edges: int = PART_EDGES, least_parts: int = LEAST_PARTS, fan_in: int = FAN_IN) -> DataFrame:
     """(node, root) of an undirected graph given as (u, v) strings, u = v for a lone node; the root is the smallest node.
 
     Order is that of bytes. Edges with a null are ignored; repeated edges do no harm; no edges give no rows.
+
+    Level 0: the edges, by a hash of both ends so that a node of many edges is no single part's, in parts of about
+    part_edges, a forest each. A node that several forests hold becomes an edge between its roots; from level to level fan_in
+    parts are merged into one, whose forest has an edge less for each that closed a circle, up to one part. Where even the
+    contracted graph exceeds task_edges, star joins shrink it first.
     """
-    edges = edges.where("u is not null and v is not null").select("u", "v")
-    forest = cut_lineage(edges.mapInArrow(_local_forest, "node string, root string"))
+    edges = cut_lineage(edges.where("u is not null and v is not null").select("u", "v"))
+    parts, by = max(least_parts, -(-edges.count() // part_edges)), F.xxhash64("u", "v")
+    forest = cut_lineage(edges.repartition(parts, by).mapInArrow(_local_forest, "node string, root string"))
     roots = forest.groupBy("node").agg(F.min("root").alias("m"))
     above = cut_lineage(forest.join(roots, "node").where("root <> m").select(F.col("root").alias("u"), F.col("m").alias("v")).distinct())
     n = above.count()
@@ -73,12 +85,11 @@ def components(edges: DataFrame, *, task_edges: int = TASK_EDGES) -> DataFrame:
             break
         above, n = stars, stars.count()
     if n <= task_edges:
-        parts = max(1, min(above.rdd.getNumPartitions(), n // 50_000))
         upper = above
         while parts > 1:
-            upper = upper.repartition(parts).mapInArrow(_local_forest, "u string, v string").where("u <> v")
-            parts //= 8
-        top = upper.coalesce(1).mapInArrow(_local_forest, "node string, root string")
+            parts = -(-parts // fan_in)
+            upper = upper.repartition(parts, by).mapInArrow(_local_forest, "u string, v string").where("u <> v")
+        top = upper.mapInArrow(_local_forest, "node string, root string")
     else:
         top = above.select(F.col("u").alias("node"), F.col("v").alias("root"))
     top = cut_lineage(top)
@@ -143,14 +154,16 @@ def _level(lack: list[float], volume: float) -> float:
     return 0.0
 
 
-def assign_splits(records: DataFrame, *, id_col: str = "record_no", keys: tuple[str, ...] = ("regime_a.regime_id", "regime_b.regime_id"), targets: dict[str, int] = TARGETS, buckets: int = 256) -> DataFrame:
+def assign_splits(records: DataFrame, *, id_col: str = "record_no", keys: tuple[str, ...] = ("regime_a.regime_id", "regime_b.regime_id"), targets: dict[str, int] = TARGETS, bucket_groups: int = BUCKET_GROUPS) -> DataFrame:
     """(id_col, group_id, split): a group lies in one split; a record without key is a group of its own.
 
     The driver sees only how many groups of each size there are (at most the root of twice the records). Groups of one
-    size are ranked by a count per hash bucket and a place in the bucket, so no task holds all of them.
+    size are ranked by a count per hash bucket and a place in the bucket; there are as many buckets as it takes for about
+    bucket_groups groups in each, so no task holds all of them.
     """
     grouped = record_groups(records, id_col=id_col, keys=keys).withColumn("_g", F.coalesce(F.concat(F.lit("g"), "group_id"), F.concat(F.lit("r"), F.col(id_col).cast("string"))))
-    groups = cut_lineage(grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("size")).withColumn("bucket", F.pmod(F.xxhash64("_g"), F.lit(buckets))))
+    groups = cut_lineage(grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("size")))
+    groups = groups.withColumn("bucket", F.pmod(F.xxhash64("_g"), F.lit(max(1, -(-groups.count() // bucket_groups)))))
     counts = groups.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     spark = records.sparkSession

@@ -408,6 +408,26 @@ def test_components_against_union_find(spark, limit):
     rng.shuffle(edges)
     df = spark.createDataFrame([*edges, (None, "x"), *edges[:5]], "u string, v string").repartition(6)
     assert {r["node"]: r["root"] for r in grouped_splits.components(df, task_edges=limit).collect()} == union_find(edges)
+    assert {r["node"]: r["root"] for r in grouped_splits.components(df, part_edges=3, fan_in=2).collect()} == union_find(edges)
+
+
+def test_forests_are_merged_level_by_level(spark, monkeypatch):
+    """p2_found: sixteen local forests, merged into four, then one."""
+    ran, plain = [], type(spark.range(1)).mapInArrow
+
+    def spy(self, *args, **more):
+        ran.append(self.rdd.getNumPartitions())
+        return plain(self, *args, **more)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", spy)
+    assert grouped_splits.p2_found(spark, "/root/testdata/sf0.01").count() > 0
+    assert ran == [16, 4, 1, 1]
+
+
+def test_many_buckets_of_groups(spark):
+    df = spark.createDataFrame([(i, (f"R{i if i % 5 else 0}",), None) for i in range(300)], "record_no long, regime_a struct<regime_id:string>, regime_b struct<regime_id:string>")
+    got = grouped_splits.assign_splits(df, bucket_groups=7).collect()
+    assert len(got) == 300 and {s: sum(r["split"] == s for r in got) for s in grouped_splits.TARGETS} == {"train": 210, "validation": 45, "test": 45}
 
 
 def test_record_groups_and_splits(spark):
