@@ -16,16 +16,17 @@ import functools
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import ChainMap, Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.plans.runtime import cut_lineage, spread, table
+from docloom.plans.runtime import cut_lineage, table
 
 HYPHENS = "-­‐‑¬"
 EDGE = 3
@@ -118,6 +119,22 @@ class Page:
         self.top, self.bottom = full[:EDGE], full[::-1][:EDGE]
 
 
+KINDS = ("blank", "body", "header", "pageno")
+
+
+def coded(pages: list[Page]) -> list[bytes]:
+    """The kinds of every page's lines, a byte each."""
+    return [bytes(KINDS.index(k) for k in p.kind) for p in pages]
+
+
+def restored(raw: list[dict] | None, kinds: list[bytes]) -> list[Page]:
+    """The pages in order with their lines' kinds as coded."""
+    pages = _ordered(raw)
+    for page, own in zip(pages, kinds):
+        page.kind = [KINDS[k] for k in own]
+    return pages
+
+
 def _ordered(pages: list[dict] | None) -> list[Page]:
     known = [p for p in pages or [] if p and p["text"] is not None and p["page"] is not None]
     return [Page(p["page"], p["text"]) for p in sorted(known, key=lambda p: p["page"])]
@@ -298,15 +315,15 @@ def split_forms(left: str, right: str) -> tuple[str, str]:
     return core(left + right), core(left + "-" + right)
 
 
-def doc_words(lines: list[Line]) -> tuple[list[list[str]], set[str]]:
-    """(words of each line that stand whole, forms to look up of those that are split)."""
+def doc_words(lines: list[Line]) -> tuple[list[str], set[str]]:
+    """(words that stand whole, in their order; forms and parts to look up of those that are split)."""
     whole, forms, split_before = [], set(), False
     for line in lines:
         words = line.words[1 if split_before else 0 : -1 if line.cut else None]
-        whole.append([w for w in map(core, words) if w])
+        whole += [w for w in map(core, words) if w]
         split_before = bool(line.cut)
         if line.cut:
-            forms.update(x for x in split_forms(*line.cut) if x)
+            forms.update(x for x in (*split_forms(*line.cut), *map(core, line.cut)) if x)
     return whole, forms
 
 
@@ -338,96 +355,143 @@ def glyph_edit(seen: str, meant: str) -> str | None:
     return "".join(differ[0]) if len(differ) == 1 else None
 
 
-def _per_doc(batches: Iterator[pa.RecordBatch], make, schema: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
-    """Run make(row) -> rows for every document and give them out a few thousand at a time."""
-    rows: list[tuple] = []
-
-    def batch_of() -> pa.RecordBatch:
-        columns = list(zip(*rows)) if rows else [()] * len(schema)
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, schema)], [n for n, _ in schema])
-
+def _per_doc(batches: Iterator[pa.RecordBatch], make, schema: list[tuple[str, pa.DataType]], some: int = 50) -> Iterator[pa.RecordBatch]:
+    """Run make(row) -> rows for every document, some at a time."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            rows += make({n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)})
-            if len(rows) >= 5000:
-                yield batch_of()
-                rows.clear()
-    if rows:
-        yield batch_of()
+        for at in range(0, batch.num_rows, some):
+            part = batch.slice(at, some)
+            values = [c.to_pylist() for c in part.columns]
+            rows = [out for own in zip(*values) for out in make(dict(zip(part.schema.names, own)))]
+            columns = list(zip(*rows)) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, schema)], [n for n, _ in schema])
 
 
 def _latest(extracted: DataFrame, id_col: str) -> DataFrame:
-    """(doc, pages): each document once, as last extracted."""
-    named = extracted.where(F.col(id_col).isNotNull() & F.col("pages").isNotNull())
-    return named.groupBy(F.col(id_col).alias("doc")).agg(F.max_by("pages", F.struct("extracted_at", F.size("pages"))).alias("pages"))
+    """(doc, pages): each document once, as last extracted; in as many parts as there is work for."""
+    session = extracted.sparkSession
+    parts = max(2 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    named = extracted.where(F.col(id_col).isNotNull() & F.col("pages").isNotNull()).select(F.col(id_col).alias("doc"), "pages", "extracted_at").repartition(parts, "doc")
+    return named.groupBy("doc").agg(F.max_by("pages", F.struct("extracted_at", F.size("pages"))).alias("pages"))
+
+
+_PAGES = pa.list_(pa.struct([("page", pa.int32()), ("text", pa.string())]))
+
+
+def _laid_out(docs: DataFrame) -> DataFrame:
+    """(doc, pages, kinds array<binary>, keys, edges array<string>): every document laid out by itself; keys are those of
+    headers that recur within it, edges those of other lines at its pages' edges."""
 
+    def rows(r: dict) -> list[tuple]:
+        pages, keys = layout(r["pages"])
+        edges = {k for p in pages for i in {*p.top, *p.bottom} if p.kind[i] == "body" for k in _keys(p.lines[i])}
+        return [(r["doc"], [x and {"page": x["page"], "text": x["text"]} for x in r["pages"]], coded(pages), sorted(keys), sorted(edges - keys))]
 
-def _header_keys(docs: DataFrame, least_docs: int = 3) -> DataFrame:
+    schema = [("doc", pa.string()), ("pages", _PAGES), ("kinds", pa.list_(pa.binary())), ("keys", pa.list_(pa.string())), ("edges", pa.list_(pa.string()))]
+    return cut_lineage(docs.mapInArrow(lambda batches: _per_doc(batches, rows, schema), "doc string, pages array<struct<page: int, text: string>>, kinds array<binary>, keys array<string>, edges array<string>"))
+
+
+def _known_headers(laid: DataFrame, least_docs: int = 3) -> DataFrame:
     """(doc, known array<string>): header keys at a document's edges that recur within least_docs documents."""
+    common = laid.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("key")
+    return laid.select("doc", F.explode("edges").alias("key")).join(common, "key", "left_semi").groupBy("doc").agg(F.collect_set("key").alias("known"))
+
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(r: dict) -> list[tuple]:
-            pages, keys = layout(r["pages"])
-            edges = {k for p in pages for i in {*p.top, *p.bottom} if p.kind[i] == "body" for k in _keys(p.lines[i])}
-            return [(r["doc"], k, True) for k in keys] + [(r["doc"], k, False) for k in edges - keys]
+def _worded(laid: DataFrame) -> DataFrame:
+    """(doc, kinds, words, own, counts, forms): the final kinds where other documents' headers changed them, else null; the
+    body's whole words in their order, its distinct ones with their counts, and what its split words ask for."""
 
-        return _per_doc(batches, rows, [("doc", pa.string()), ("key", pa.string()), ("recurs", pa.bool_())])
+    def rows(r: dict) -> list[tuple]:
+        pages, kinds = restored(r["pages"], r["kinds"]), None
+        if r["known"]:
+            pages, _ = layout(r["pages"], set(r["known"]))
+            kinds = coded(pages)
+        whole, forms = doc_words(body(pages))
+        own = Counter(whole)
+        return [(r["doc"], kinds, whole, list(own), list(own.values()), sorted(forms))]
 
-    keys = cut_lineage(docs.mapInArrow(own, "doc string, key string, recurs boolean"))
-    common = keys.where("recurs").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("key")
-    return keys.where("not recurs").join(common, "key", "left_semi").groupBy("doc").agg(F.collect_set("key").alias("known"))
+    strings = pa.list_(pa.string())
+    schema = [("doc", pa.string()), ("kinds", pa.list_(pa.binary())), ("words", strings), ("own", strings), ("counts", pa.list_(pa.int64())), ("forms", strings)]
+    known = laid.select("doc", "pages", "kinds").join(_known_headers(laid), "doc", "left")
+    return cut_lineage(known.mapInArrow(lambda batches: _per_doc(batches, rows, schema), "doc string, kinds array<binary>, words array<string>, own array<string>, counts array<bigint>, forms array<string>"))
 
 
-def _count_words(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(counts of whole words (word, n), words and split forms of each document (doc, word), lines' words (words))."""
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) -> (word, n, key), a row per key."""
+    for batch in batches:
+        each = [edit_keys(w) for w in batch.column(0).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(each)), list(map(len, each))))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([k for own in each for k in own], pa.string())], ["word", "n", "key"])
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(r: dict) -> list[tuple]:
-            whole, forms = doc_words(body(layout(r["pages"], set(r["known"] or ()))[0]))
-            return [(r["doc"], [w for line in whole for w in line], sorted(forms))]
 
-        return _per_doc(batches, rows, [("doc", pa.string()), ("words", pa.list_(pa.string())), ("forms", pa.list_(pa.string()))])
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, meant, n_meant) -> those with a plausible edit, and the edit."""
+    for batch in batches:
+        edits = pa.array(list(map(glyph_edit, batch.column(0).to_pylist(), batch.column(1).to_pylist())), pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], edits], ["word", "meant", "n_meant", "edit"]).filter(edits.is_valid())
 
-    said = cut_lineage(docs.mapInArrow(lists, "doc string, words array<string>, forms array<string>"))
-    counts = said.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    looked_up = said.select("doc", F.explode(F.array_union("words", "forms")).alias("word"))
-    return counts, looked_up, said.select("words")
 
+def _links(counts: DataFrame, forms: DataFrame) -> DataFrame:
+    """(word, meant, n_meant, edit): words and the much more frequent ones that a plausible glyph edit leads to.
 
-def _links(counts: DataFrame, looked_up: DataFrame) -> DataFrame:
-    """(word, meant, n_meant, edit): words and the much more frequent ones that a plausible glyph edit leads to."""
-    keys = F.udf(edit_keys, "array<string>", useArrow=True)
-    edit = F.udf(glyph_edit, "string", useArrow=True)
-    seen = looked_up.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
-    plain = counts.where(F.col("word").rlike("^[a-z]+(-[a-z]+)*$"))
-    left = seen.select("word", "n", F.explode(keys("word")).alias("key"))
-    right = plain.select(F.col("word").alias("meant"), F.col("n").alias("n_meant"), F.explode(keys("word")).alias("key"))
+    Words meet at keys: a word with one letter left open, or its skeleton. A key has a plain word per letter at most, or
+    those whose letters look alike, so no key is hot, however often its words occur.
+    """
+    seen = counts.join(forms.select("word").distinct(), "word", "full_outer").select("word", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    top = counts.agg(F.max("n")).first()[0] or 0
     # a word with signs, digits or diacritics gives way to a plain one as frequent; a plain one only to a much more frequent
-    odd = ~F.col("word").rlike("^[a-z'’-]+$") & (F.col("n_meant") >= F.col("n"))
+    odd = ~F.col("word").rlike("^[a-z'’-]+$")
+    left = seen.where(odd | (F.col("n") <= max(1, top // RATIO))).mapInArrow(_keyed, "word string, n long, key string")
+    right = counts.where(F.col("word").rlike("^[a-z]+(-[a-z]+)*$")).select("word", F.col("n").cast("long").alias("n")).mapInArrow(_keyed, "word string, n long, key string")
+    right = right.select(F.col("word").alias("meant"), F.col("n").alias("n_meant"), "key")
     rare = (F.col("n_meant") >= 3) & ((F.col("n") <= 1) | (F.col("n_meant") >= RATIO * F.col("n")))
-    pairs = left.join(right, "key").where((odd | rare) & (F.col("word") != F.col("meant"))).select("word", "n", "meant", "n_meant").distinct()
-    judged = cut_lineage(pairs.withColumn("edit", edit("word", "meant")).where("edit is not null"))
+    pairs = left.join(right, "key").where((odd & (F.col("n_meant") >= F.col("n")) | rare) & (F.col("word") != F.col("meant"))).select("word", "meant", "n_meant").distinct()
+    judged = cut_lineage(pairs.mapInArrow(_judged, "word string, meant string, n_meant long, edit string"))
     # a letter for a letter beyond the look-alikes must be a habit of the scanner: seen in several words
     habits = judged.where("length(edit) = 2").groupBy("edit").agg(F.count_distinct("meant").alias("words"))
     kept = judged.join(habits, "edit", "left").where("length(edit) > 2 or words >= 5")
-    return kept.select("word", "meant", "n_meant", "edit")
+    return cut_lineage(kept.select("word", "meant", "n_meant", "edit"))
 
 
-def word_vectors(lines: DataFrame, counts: DataFrame, words: int = MODEL_WORDS, size: int = VECTOR) -> dict[str, np.ndarray]:
-    """Skip-gram vectors of the most frequent words, at most `words` of them (their bound on the driver)."""
+def _rare_vectors(lines: DataFrame, wanted: DataFrame, vectors: Broadcast) -> DataFrame:
+    """(word, vector array<float>) of wanted words that the model has none of: the mean of their neighbours' vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[str, np.ndarray] = {}
+            for words in batch.column(0).to_pylist():
+                own = [vectors.value.get(w) for w in words]
+                for i, w in enumerate(words):
+                    if own[i] is None:
+                        near = [v for v in own[max(0, i - WINDOW) : i] + own[i + 1 : i + 1 + WINDOW] if v is not None]
+                        if near:
+                            sums[w] = sums.get(w, 0) + sum(near[1:], near[0])
+            values = pa.array([v.astype(np.float64).tolist() for v in sums.values()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), values], ["word", "vector"])
+
+    part = lines.mapInArrow(run, "word string, vector array<double>").join(wanted, "word", "left_semi")
+    each = part.select("word", F.posexplode("vector").alias("k", "x")).groupBy("word", "k").agg(F.sum("x").alias("x"))
+    return each.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda v: v["x"]).alias("vector"))
+
+
+def word_vectors(lines: DataFrame, counts: DataFrame, words: int = MODEL_WORDS, size: int = VECTOR) -> tuple[dict[str, np.ndarray], int]:
+    """(skip-gram vectors of the most frequent words, at most `words` of them (their bound on the driver); the least count).
+
+    Words seen once or twice have none. One pass over all lines, which are cut into stretches of 200 words, so a window is
+    cut short every 200 words.
+    """
     floor = counts.orderBy(F.desc("n")).limit(words + 1).agg(F.min("n"), F.count(F.lit(1))).first()
     if not floor[1]:
-        return {}
+        return {}, 3
     least = max(3, floor[0] + 1 if floor[1] > words else floor[0])
     if not counts.where(F.col("n") >= least).head(1):
-        return {}
+        return {}, least
     parts = max(1, min(lines.rdd.getNumPartitions(), lines.sparkSession.sparkContext.defaultParallelism))
     model = Word2Vec(vectorSize=size, minCount=least, numPartitions=parts, maxIter=1, windowSize=WINDOW, seed=7, inputCol="words", outputCol="v", maxSentenceLength=200).fit(lines.where(F.size("words") > 0))
     out = {}
     for r in model.getVectors().toLocalIterator():
         v = np.array(r["vector"].toArray(), np.float32)
         out[r["word"]] = v / max(float(np.linalg.norm(v)), 1e-9)
-    return out
+    return out, least
 
 
 class Judge:
@@ -524,41 +588,49 @@ def _replace(raw: str, word: str, meant: str) -> str:
     return raw[:at] + fresh + raw[at + len(word) :]
 
 
-def repaired(extracted: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+def repaired(extracted: DataFrame, *, id_col: str = "doc_id", model_words: int = MODEL_WORDS) -> DataFrame:
     """(doc, faults array<struct<page, line_no, fault>>, paragraphs array<string>): every document once.
 
     Of repeated documents the latest extraction counts. Null, blank and missing pages have no lines; pages are read in
-    the order of their numbers; documents without pages or id have no row. Nothing but a document's own words, links
-    and header keys is brought to it, by joins; the skip-gram vectors are broadcast (their number is bounded).
+    the order of their numbers; documents without pages or id have no row. Nothing but a document's own links, split forms
+    and header keys is brought to it, by joins; the skip-gram vectors are broadcast (their number is bounded), and words
+    beyond them that something may be a misreading of bring the mean of their neighbours' vectors along.
     """
-    docs = spread(cut_lineage(_latest(extracted, id_col)))
-    docs = cut_lineage(docs.join(_header_keys(docs), "doc", "left"))
-    counts, looked_up, lines = _count_words(docs)
-    counts = cut_lineage(counts)
-    links = cut_lineage(_links(counts, looked_up))
-    vectors = extracted.sparkSession.sparkContext.broadcast(word_vectors(lines, counts))
-    linked = links.groupBy("word").agg(F.collect_list(F.struct("meant", "n_meant", "edit")).alias("links"))
-    about = looked_up.distinct().join(counts, "word", "left").join(linked, "word", "left").where("n is not null or links is not null")
-    about = about.groupBy("doc").agg(F.collect_list(F.struct("word", F.coalesce("n", F.lit(0)).alias("n"), "links")).alias("about"))
-    # plain lists where most words are; only the few linked ones as rows
-    about = about.select("doc", F.col("about.word").alias("words"), F.col("about.n").alias("counts"), F.filter("about", lambda x: x["links"].isNotNull()).alias("linked"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(r: dict) -> list[tuple]:
-            pages, _ = layout(r["pages"], set(r["known"] or ()))
-            known = dict(zip(r["words"] or (), r["counts"] or ()))
-            own = {x["word"]: [(y["meant"], y["n_meant"], y["edit"]) for y in x["links"]] for x in r["linked"] or ()}
-            for options in own.values():
-                for meant, n, _ in options:
-                    known.setdefault(meant, n)
-            faults, paragraphs = judge_lines(body(pages), Judge(known, own, vectors.value))
-            faults += [(p.number, i + 1, k) for p in pages for i, k in enumerate(p.kind) if k in ("header", "pageno")]
-            return [(r["doc"], [dict(zip(("page", "line_no", "fault"), f)) for f in faults], paragraphs)]
-
-        fault = pa.struct([("page", pa.int32()), ("line_no", pa.int32()), ("fault", pa.string())])
-        return _per_doc(batches, rows, [("doc", pa.string()), ("faults", pa.list_(fault)), ("paragraphs", pa.list_(pa.string()))])
-
-    return docs.join(about, "doc", "left").mapInArrow(run, "doc string, faults array<struct<page: int, line_no: int, fault: string>>, paragraphs array<string>")
+    laid = _laid_out(_latest(extracted, id_col))
+    worded = _worded(laid)
+    counts = cut_lineage(worded.select(F.explode(F.arrays_zip("own", "counts")).alias("w")).groupBy(F.col("w.own").alias("word")).agg(F.sum("w.counts").alias("n")))
+    forms = worded.select("doc", F.explode("forms").alias("word"))
+    links = _links(counts, forms)
+    known, least = word_vectors(worded.select("words"), counts, model_words)
+    vectors = extracted.sparkSession.sparkContext.broadcast(known)
+    links = links.withColumn("vector", F.lit(None).cast("array<double>"))
+    rare = counts.where((F.col("n") >= 3) & (F.col("n") < least)).select("word")
+    if known and rare.head(1):
+        rare = links.select(F.col("meant").alias("word")).distinct().join(rare, "word", "left_semi")
+        means = _rare_vectors(worded.select("words"), rare, vectors).select(F.col("word").alias("meant"), "vector")
+        links = cut_lineage(links.drop("vector").join(means, "meant", "left"))
+    linked = cut_lineage(links.groupBy("word").agg(F.collect_list(F.struct("meant", "n_meant", "edit", "vector")).alias("links")))
+    asked = forms.join(counts, "word").groupBy("doc").agg(F.collect_list("word").alias("asked"), F.collect_list("n").alias("n"))
+    said = worded.select("doc", F.explode(F.array_union("own", "forms")).alias("word"))
+    own_links = said.join(linked, "word").groupBy("doc").agg(F.collect_list(F.struct("word", "links")).alias("linked"))
+    about = worded.select("doc", F.col("kinds").alias("changed")).join(asked, "doc", "left").join(own_links, "doc", "left")
+
+    def rows(r: dict) -> list[tuple]:
+        pages = restored(r["pages"], r["changed"] or r["kinds"])
+        known = dict(zip(r["asked"] or (), r["n"] or ()))
+        own = {x["word"]: [(y["meant"], y["n_meant"], y["edit"]) for y in x["links"]] for x in r["linked"] or ()}
+        brought = {y["meant"]: np.array(y["vector"], np.float32) for x in r["linked"] or () for y in x["links"] if y["vector"]}
+        for options in own.values():
+            for meant, n, _ in options:
+                known.setdefault(meant, n)
+        held = ChainMap({w: v / max(float(np.linalg.norm(v)), 1e-9) for w, v in brought.items()}, vectors.value) if brought else vectors.value
+        faults, paragraphs = judge_lines(body(pages), Judge(known, own, held))
+        faults += [(p.number, i + 1, k) for p in pages for i, k in enumerate(p.kind) if k in ("header", "pageno")]
+        return [(r["doc"], [dict(zip(("page", "line_no", "fault"), f)) for f in faults], paragraphs)]
+
+    fault = pa.struct([("page", pa.int32()), ("line_no", pa.int32()), ("fault", pa.string())])
+    schema = [("doc", pa.string()), ("faults", pa.list_(fault)), ("paragraphs", pa.list_(pa.string()))]
+    return laid.select("doc", "pages", "kinds").join(about, "doc").mapInArrow(lambda batches: _per_doc(batches, rows, schema), "doc string, faults array<struct<page: int, line_no: int, fault: string>>, paragraphs array<string>")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
