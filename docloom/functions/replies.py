@@ -130,3 +130,33 @@ def retry_summary(outcomes: DataFrame) -> DataFrame:
     temps = [F.count_if(F.round("succeeded_at", 1) == t).alias(f"at_{str(t).replace('.', '_')}") for t in (0.0, 0.3, 0.7)]
     failed = F.count_if(F.col("n_retries").isNull())
     return outcomes.agg(F.count(F.lit(1)).alias("n"), F.round(ratio(failed, F.count(F.lit(1))), 9).alias("failure_rate"), *retries, *temps, failed.alias("at_none"))
+
+
+def attempt_ends(attempts: DataFrame, keys: list[str], columns: list[str], order: str = "attempt_n") -> DataFrame:
+    """(keys..., first_<column>, last_<column> for each): what the first and the last attempt had."""
+    return attempts.groupBy(*keys).agg(*(f(c, order).alias(f"{end}_{c}") for c in columns for end, f in (("first", F.min_by), ("last", F.max_by))))
+
+
+def transcript_name(pair_id: str) -> Column:
+    """A file name for a pair's transcript: colons and slashes become underscores."""
+    return F.concat(F.translate(pair_id, ":/", "__"), F.lit(".json"))
+
+
+_TRANSCRIPT = "attempts array<struct<temperature: double, parsed: struct<success: boolean, conflict_present: boolean, conflict_type: string>>>"
+
+
+def resumed(transcripts: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(pair_id, n_attempts, n_retries, succeeded_at, y_pred, t_pred) of the transcripts that can be read: the first attempt
+    that succeeded counts; none: no conflict. A transcript that is no JSON object is left out, to be computed again."""
+    v = F.try_parse_json(text_col)
+    whole = transcripts.where(v.isNotNull() & F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)))
+    tries = F.coalesce(F.from_json(text_col, _TRANSCRIPT)["attempts"], F.array().cast("array<struct<temperature: double, parsed: struct<success: boolean, conflict_present: boolean, conflict_type: string>>>"))
+    numbers = F.transform(tries, lambda a, i: F.when(F.coalesce(a["parsed"]["success"], F.lit(False)), i))
+    rows = whole.select("pair_id", tries.alias("tries"), F.array_min(F.array_compact(numbers)).alias("at"))
+    best = F.get("tries", F.col("at"))
+    return rows.select("pair_id", F.size("tries").alias("n_attempts"), F.coalesce("at", F.size("tries") - 1).alias("n_retries"), best["temperature"].alias("succeeded_at"), F.coalesce(best["parsed"]["conflict_present"], F.lit(False)).alias("y_pred"), best["parsed"]["conflict_type"].alias("t_pred"))
+
+
+def still_to_ask(pairs: DataFrame, transcripts: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """The pairs that no readable transcript answers."""
+    return pairs.join(resumed(transcripts, text_col=text_col).select("pair_id"), "pair_id", "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators.alignment import is_conflict
+from docloom.plans.runtime import cut_lineage
 from docloom.schemas import CONFLICT_TYPES, DECISIONS, NON_CONFLICT_SUBTYPES, RECORD_TYPES, SEVERITIES, TIERS
 
 PROPORTIONS = {"train": 0.70, "val": 0.15, "test": 0.15}
@@ -24,6 +27,42 @@ def held_out(review: str = "review") -> Column:
     return F.col(f"{review}.reviewer_id").isNotNull()
 
 
+def held_out_line(line: Column) -> Column:
+    """The same of a record as JSON text: a blind_review key, whatever its value, or a review with a named reviewer.
+
+    A table with a fixed schema can't tell a missing key from a null one; the text can.
+    """
+    v = F.try_parse_json(line)
+    return F.coalesce(F.variant_get(v, "$.blind_review", "variant").isNotNull() | F.variant_get(v, "$.review.reviewer_id", "string").isNotNull(), F.lit(False))
+
+
+def split_with_hold_out(records: DataFrame, *, id_col: str = "record_no", review: str = "review", **options) -> DataFrame:
+    """(id_col, stratum, split, position): held-out records go to gold_iaa (no position), the others are split by stratum."""
+    held = records.where(held_out(review)).select(id_col, stratum().alias("stratum"), F.lit("gold_iaa").alias("split"), F.lit(None).cast("long").alias("position"))
+    return stratified_split(records.where(~held_out(review)), id_col=id_col, **options).unionByName(held)
+
+
+def numbered(rows: DataFrame, order: list[Column | str], *, name: str = "row_no", first: int = 0) -> DataFrame:
+    """rows with their place in an order, counted from `first`; rows that tie in it may swap.
+
+    The rows are sorted in ranges; only the ranges' sizes come together.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    placed, before, starts = cut_lineage(placed), first, []
+    for p, n in sorted((r[0], r[1]) for r in placed.groupBy("_p").count().collect()):  # a row per partition
+        starts.append((p, before))
+        before += n
+    offsets = rows.sparkSession.createDataFrame(starts, "_p int, _at long")
+    return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_at") + F.col("_i")).drop("_p", "_i", "_at")
+
+
+def head_of(rows: DataFrame, n: int, order: list[Column | str], *, jurisdiction: str | None = None, issuing_body: str | None = None) -> DataFrame:
+    """The first n rows in an order, of one jurisdiction or issuing body if named; filters come before the sort."""
+    for column, value in (("jurisdiction", jurisdiction), ("issuing_body", issuing_body)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows.orderBy(*order).limit(n)
+
+
 def stratified_split(records: DataFrame, *, id_col: str = "record_no", seed: int = 42, proportions: dict[str, float] = PROPORTIONS, bucket_rows: int = 100_000) -> DataFrame:
     """(id_col, stratum, split, position): every record, in each stratum floor(n * p) to each split, leftovers one by one
     to the splits in descending proportion.
@@ -114,13 +153,13 @@ def tier_counts(inventory: DataFrame) -> DataFrame:
     return inventory.groupBy(F.trim("license_tier").alias("license_tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def inventory_problems(inventory: DataFrame) -> DataFrame:
-    """(sha256, document_title, problem): unknown tiers and missing or malformed hashes."""
+def inventory_problems(inventory: DataFrame, keep: list[str] = ["sha256", "document_title"]) -> DataFrame:
+    """(keep..., problem): unknown tiers and missing or malformed hashes; keep the row's number (see numbered) to name it."""
     tier = F.lower(T.strip("license_tier"))
     found = F.array_compact(F.array(
         F.when(~F.coalesce(tier.isin(TIERS), F.lit(False)), F.concat(F.lit("unknown tier "), F.coalesce("license_tier", F.lit("null")))),
         F.when(F.coalesce("sha256", F.lit("")) == "", "empty sha256"), F.when((F.col("sha256") != "") & ~F.col("sha256").rlike("^[0-9a-f]{64}$"), "malformed sha256")))
-    return inventory.select("sha256", "document_title", F.explode(found).alias("problem"))
+    return inventory.select(*keep, F.explode(found).alias("problem"))
 
 
 def missing_files(inventory: DataFrame, files: DataFrame) -> DataFrame:
@@ -130,6 +169,15 @@ def missing_files(inventory: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files.select("sha256").distinct(), "sha256", "left_anti").join(held, "tier", "left_semi").select("sha256", "tier")
 
 
+def locate_files(inventory: DataFrame, files: DataFrame) -> DataFrame:
+    """(sha256, path): where each inventory row's file lies, by its content's hash; of several the first path, null if none.
+
+    files: (sha256, path).
+    """
+    first = files.where("sha256 is not null").groupBy("sha256").agg(F.min("path").alias("path"))
+    return inventory.where("sha256 is not null").select("sha256").distinct().join(first, "sha256", "left")
+
+
 def manifest_problems(inventory: DataFrame, manifest: DataFrame, order: str = "ord") -> DataFrame:
     """(sha256, problem): third-tier documents without manifest row, or with a blank address (the last row counts)."""
     rows = inventory.where(F.lower(T.strip("license_tier")) == "tier 3").select("sha256").where("sha256 is not null").distinct()
@@ -144,6 +192,23 @@ def status_rollup(rows: DataFrame, source: str, status: str) -> DataFrame:
     return rows.rollup(source, status).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level"))
 
 
+def with_tags(chunks: DataFrame) -> DataFrame:
+    """chunks with the three tag columns, empty: tagging is up to its user."""
+    return chunks.withColumns({f"{kind}_tags": F.array().cast("array<string>") for kind in ("regime", "topic", "applicability")})
+
+
+def with_metadata(predictions: DataFrame, name: str, version: str, config: dict) -> DataFrame:
+    """predictions with model_metadata, the same in every row; config_hash is the fingerprint of the settings."""
+    digest = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:12]
+    return predictions.withColumn("model_metadata", F.struct(F.lit(name).alias("model_name"), F.lit(version).alias("model_version"), F.lit(digest).alias("config_hash")))
+
+
+def matching_lines(docs: DataFrame, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, line_no, line): the lines of every text that a pattern is found in, counted from 1."""
+    lines = docs.where(F.col(text_col).rlike(pattern)).select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
+    return lines.where(F.col("line").rlike(pattern)).select(id_col, (F.col("pos") + 1).alias("line_no"), "line")
+
+
 def text_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, sha256): of the text's bytes; null for null texts."""
     return docs.select(id_col, F.sha2(F.col(text_col).cast("binary"), 256).alias("sha256"))

@@ -44,10 +44,10 @@ def joined_text(pages: DataFrame, keys: list[str] = ["doc_id"]) -> DataFrame:
     return pages.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", mark.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
 
 
-def page_sample(extracted: DataFrame, n: int = SAMPLE_PAGES) -> DataFrame:
-    """(doc_id, page, text): up to n pages of each document, chosen by a hash of document and page."""
-    w = Window.partitionBy("doc_id").orderBy(F.md5(F.concat_ws("|", "doc_id", F.col("page").cast("string"))), "pos")
-    return pages_of(extracted).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).select("doc_id", "page", "text")
+def page_sample(extracted: DataFrame, n: int = SAMPLE_PAGES, keys: list[str] = ["doc_id"]) -> DataFrame:
+    """(keys..., page, text): up to n pages of each document, chosen by a hash of document and page."""
+    w = Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws("|", "doc_id", F.col("page").cast("string"))), "pos")
+    return pages_of(extracted, keys).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).select(*keys, "page", "text")
 
 
 def page_checks(pages: DataFrame, keep: list[str] = ["doc_id"]) -> DataFrame:
@@ -58,12 +58,13 @@ def page_checks(pages: DataFrame, keep: list[str] = ["doc_id"]) -> DataFrame:
 def document_checks(extracted: DataFrame, n: int = SAMPLE_PAGES) -> DataFrame:
     """One row per document row: rates over its sampled pages, average characters over all, and what speaks for
     extracting it again. Documents without pages have zero rates."""
-    rows = extracted.select(F.struct("doc_id", "extracted_at").alias("_key"), "doc_id", "extractor", "page_count", "pages")
+    keys = ["doc_id", "extracted_at"]
     size = F.coalesce(F.try_divide(F.aggregate("pages", F.lit(0), lambda a, p: a + F.length(F.coalesce(p["text"], F.lit("")))).cast("double"), F.col("page_count").cast("double")), F.lit(0.0))
-    head = rows.select("_key", "doc_id", "extractor", "page_count", F.coalesce(size, F.lit(0.0)).alias("avg_chars"))
-    sampled = page_checks(page_sample(rows.select(F.col("_key").alias("doc_id"), "pages").where("pages is not null").withColumn("doc_id", F.to_json("doc_id")), n))
-    rates = sampled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("chars") < 20).alias("empty"), F.count_if("has_section_sign").alias("signs"), F.sum("suspicious").alias("odd"), F.sum("chars").alias("chars"))
-    joined = head.join(rates.withColumnRenamed("doc_id", "_json"), F.to_json("_key") == F.col("_json"), "left").fillna(0, ["k", "empty", "signs", "odd", "chars"])
+    head = extracted.select(*keys, "extractor", F.coalesce(size, F.lit(0.0)).alias("avg_chars"))
+    sampled = page_checks(page_sample(extracted.where("pages is not null"), n, keys), keys)
+    rates = sampled.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("chars") < 20).alias("empty"), F.count_if("has_section_sign").alias("signs"), F.sum("suspicious").alias("odd"), F.sum("chars").alias("chars"))
+    rates = rates.withColumnsRenamed({k: f"_{k}" for k in keys})
+    joined = head.join(rates, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("extracted_at").eqNullSafe(F.col("_extracted_at")), "left").fillna(0, ["k", "empty", "signs", "odd", "chars"])
     over = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(b))
     joined = joined.select("doc_id", "extractor", F.col("k").alias("sampled"), "avg_chars", over("empty", "k").alias("empty_rate"), over("signs", "k").alias("section_rate"), over("odd", "chars").alias("suspicious_rate"))
     return joined.withColumn("reasons", reasons())
@@ -94,3 +95,14 @@ def quality_summary(checks: DataFrame) -> DataFrame:
 
 def extractor_breakdown(extracted: DataFrame) -> DataFrame:
     return extracted.groupBy(F.coalesce("extractor", F.lit("")).alias("extractor")).agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.coalesce(F.size("pages"), F.lit(0))).alias("n_pages"))
+
+
+def run_totals(extracted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(extractor, n_documents, n_pages, n_chunks, needs_reextraction, n_failures) of a run: documents by extractor, with
+    what came out of them. chunks has a row per chunk; a document with errors and no pages has failed."""
+    name = F.coalesce("extractor", F.lit("")).alias("extractor")
+    rows = extracted.groupBy(name).agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.coalesce(F.size("pages"), F.lit(0))).alias("n_pages"), F.count_if((F.coalesce(F.size("pages"), F.lit(0)) <= 0) & (F.coalesce(F.size("extraction_errors"), F.lit(0)) > 0)).alias("n_failures"))
+    verdicts = with_verdict(document_checks(extracted)).groupBy(name).agg(F.count_if("needs_reextraction").alias("needs_reextraction"))
+    owners = extracted.groupBy("doc_id").agg(F.min(name).alias("extractor"))
+    made = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(owners, "doc_id").groupBy("extractor").agg(F.sum("n").alias("n_chunks"))
+    return rows.join(verdicts, "extractor").join(made, "extractor", "left").select("extractor", "n_documents", "n_pages", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "needs_reextraction", "n_failures")

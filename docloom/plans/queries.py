@@ -527,6 +527,34 @@ def boilerplate_lines(spark, d):
     return found.select("k.doc_id", stamp.alias("at"), "line", "n")
 
 
+_SPACE = r"[\s\x0B\p{Z}\x85]"
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+_NUMBER_LINE = r"(?im)^S*(?:pageS+)?\p{Nd}{1,4}(?:S*/S*\p{Nd}{1,4}|S+ofS+\p{Nd}{1,4})?S*$".replace("S", _SPACE)
+_TIGHT = _strip(r"regexp_replace(regexp_replace(regexp_replace(a, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '(?m)[\t\f\r \x0B\p{Z}\x85]+$', '', 'g')")
+_CHECKS = rf"""{_PAGES}, ordered AS (SELECT doc_id, extracted_at, p.page AS page, coalesce(p.text, '') AS t, row_number() OVER (PARTITION BY doc_id, extracted_at ORDER BY md5(CASE WHEN p.page IS NULL THEN doc_id ELSE doc_id || '|' || p.page::VARCHAR END), pos) AS rn FROM pg),
+rates AS (SELECT doc_id, extracted_at, count(*) AS k, count(*) FILTER (length(t) < 20) AS empty, count(*) FILTER ({{signs}}) AS signs, sum(len(regexp_extract_all(t, '[\x{{FFFD}}\x00-\x08\x0b\x0c\x0e-\x1f]'))) AS odd, sum(length(t)) AS chars FROM ordered WHERE rn <= 10 GROUP BY ALL),
+c AS (SELECT e.doc_id, e.extractor, coalesce(k, 0) AS sampled, coalesce(list_sum(list_transform(pages, lambda p: length(coalesce(p.text, ''))))::DOUBLE / nullif(page_count, 0), 0.0) AS avg_chars, coalesce(empty, 0)::DOUBLE / greatest(1, coalesce(k, 0)) AS empty_rate, coalesce(signs, 0)::DOUBLE / greatest(1, coalesce(k, 0)) AS section_rate, coalesce(odd, 0)::DOUBLE / greatest(1, coalesce(chars, 0)) AS suspicious_rate
+  FROM extracted e LEFT JOIN rates r ON e.doc_id IS NOT DISTINCT FROM r.doc_id AND e.extracted_at IS NOT DISTINCT FROM r.extracted_at),
+v AS (SELECT *, list_filter([CASE WHEN coalesce(extractor, '') IN ('', 'failed') THEN 'extraction failed' END, CASE WHEN avg_chars < 100 THEN 'near-empty document' END, CASE WHEN empty_rate > 0.4 THEN round_even(empty_rate * 100, 0)::INT::VARCHAR || '% of sampled pages near-empty' END,
+  CASE WHEN section_rate = 0 AND avg_chars > 200 THEN 'no section markers in sample' END, CASE WHEN suspicious_rate > 0.005 THEN 'high suspicious-char rate (OCR garble?)' END], lambda x: x IS NOT NULL) AS reasons FROM c),
+verdicts AS (SELECT * EXCLUDE (reasons), array_to_string(reasons, '; ') AS reason, len(reasons) > 0 AND NOT (len(reasons) = 1 AND reasons[1] = 'no section markers in sample') AS needs_reextraction FROM v)"""
+
+
+@query(rf"""WITH {_PAGES}, u AS (SELECT doc_id, extracted_at, pos, p.page AS page, coalesce(p.text, '') AS t FROM pg), full_lines AS (SELECT doc_id, extracted_at, list_filter(list_transform(string_split(t, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS l FROM u),
+edges AS (SELECT doc_id, extracted_at, unnest(list_concat(l[1:3], l[greatest(len(l) - 2, 1):])) AS line FROM full_lines), cnt AS (SELECT doc_id, extracted_at, line, count(*) AS n FROM edges WHERE length(line) BETWEEN 3 AND 120 GROUP BY ALL),
+sz AS (SELECT doc_id, extracted_at, greatest(2, floor(count(*) * 0.5)) AS least FROM pg GROUP BY ALL), drops AS (SELECT doc_id, extracted_at, list(line) AS gone FROM cnt JOIN sz USING (doc_id, extracted_at) WHERE n >= least GROUP BY ALL),
+kept AS (SELECT doc_id, extracted_at, pos, page, array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT list_contains(coalesce(gone, []), {_strip('x')})), chr(10)) AS t FROM u LEFT JOIN drops USING (doc_id, extracted_at)),
+plain AS (SELECT *, regexp_replace(t, '{_NUMBER_LINE}', '', 'g') AS a FROM kept), tight AS (SELECT *, {_TIGHT} AS b FROM plain)
+SELECT doc_id, string_agg(chr(12) || '<PAGE ' || page::VARCHAR || '>' || chr(12) || chr(10) || b, chr(10) ORDER BY pos) AS text FROM tight WHERE page IS NOT NULL GROUP BY doc_id, extracted_at""")
+def plain_text(spark, d):
+    """Cleaning without compatibility normalisation, which SQL lacks; pages without a number are left out."""
+    pages = ingestion.clean_pages(table(spark, d, "extracted").where("pages is not null"), normalise=False).where("page is not null")
+    return ingestion.joined_text(pages, ["doc_id", "_row"]).select("doc_id", "text")
+
+
 @query()
 def clean_text(spark, d):
     pages = ingestion.clean_pages(table(spark, d, "extracted").where("pages is not null"))
@@ -546,12 +574,12 @@ def page_checks(spark, d):
     return ingestion.page_checks(ingestion.pages_of(table(spark, d, "extracted")))
 
 
-@query()
+@query(f"WITH {_CHECKS.replace('{signs}', _SIGNS)} SELECT * FROM verdicts")
 def document_checks(spark, d):
     return ingestion.with_verdict(ingestion.document_checks(table(spark, d, "extracted")))
 
 
-@query()
+@query(f"WITH {_CHECKS.replace('{signs}', _SIGNS)} SELECT doc_id, extractor, printf('%.1f', round_even(avg_chars, 1)) AS avg_chars, printf('%.2f', round_even(empty_rate, 2)) AS empty_rate, printf('%.2f', round_even(section_rate, 2)) AS section_rate, printf('%.4f', round_even(suspicious_rate, 4)) AS suspicious_rate, needs_reextraction::INT AS needs_reextraction, reason FROM verdicts")
 def quality_summary(spark, d):
     return ingestion.quality_summary(ingestion.document_checks(table(spark, d, "extracted")))
 
@@ -561,7 +589,7 @@ def extractor_breakdown(spark, d):
     return ingestion.extractor_breakdown(table(spark, d, "extracted"))
 
 
-@query()
+@query(rf"SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(list_sum(list_transform(list_filter(list_transform(string_split_regex(text, '\n{{2,}}'), lambda x: {_strip('x')}), lambda x: x <> ''), lambda p: len(regexp_extract_all(p, '[.!?][\s\x0B]+[A-Z(]')) + 1)), 0) END::INT AS n_sentences FROM documents")
 def sentence_count(spark, d):
     return table(spark, d, "documents").select("doc_id", T.sentence_count("text").alias("n_sentences"))
 
@@ -730,3 +758,6 @@ def near_vectors(spark, d):
     """Queries are the vectors whose id is divisible by 50, searched against all; the test vectors are far apart, hence 0.25."""
     rows = table(spark, d, "embeddings")
     return vectors.near_vectors(rows, rows.where(F.col("vec_id") % 50 == 0), least=0.25).withColumn("cosine", F.round("cosine", 6))
+
+
+from docloom.plans import more_queries  # noqa: E402,F401 - registers the rest

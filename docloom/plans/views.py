@@ -43,19 +43,22 @@ GOLD = """gold AS (SELECT record_no AS ord, pair_id, coalesce(record_type = 'con
 def predictions(spark: SparkSession, d: str, systems: list[str] = ["s1"]) -> DataFrame:
     """(system, ord, pair_id, y_pred, t_pred, conf): answers derived from the labels by hashes, with gaps, repeats, strays."""
     base = gold(spark, d).groupBy("pair_id").agg(F.min("ord").alias("first"), F.min_by("y_true", "ord").alias("y"), F.min_by(F.struct("t_true"), "ord").alias("t"))
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("system"), F.lit(SYSTEMS[s]).alias("rate")) for s in systems))).alias("s")
     types = F.array(*map(F.lit, CONFLICT_TYPES))
-    out = None
-    for s in systems:
-        y = F.when(h(f"flip{s}", "pair_id") % 100 < SYSTEMS[s], ~F.col("y")).otherwise(F.col("y"))
-        any_type = F.get(types, (h(f"kind{s}", "pair_id") % 4).cast("int"))
-        kind = F.when(F.col("y_pred") & ((h(f"type{s}", "pair_id") % 100 < 30) | F.col("t.t_true").isNull()), any_type).when(F.col("y_pred"), F.col("t.t_true")).when(h(f"odd{s}", "pair_id") % 23 == 0, F.lit(CONFLICT_TYPES[0]))
-        main = base.where(h(f"drop{s}", "pair_id") % 17 != 0).withColumn("y_pred", y)
-        main = main.select(F.lit(s).alias("system"), F.col("first").alias("ord"), "pair_id", "y_pred", kind.alias("t_pred"), (h(f"conf{s}", "pair_id") % 1000 / F.lit(1000.0)).alias("conf"))
-        again = main.where(h(f"twice{s}", "pair_id") % 19 == 0).select("system", (F.col("ord") + 1000000000).alias("ord"), "pair_id", (~F.col("y_pred")).alias("y_pred"), F.lit(None).cast("string").alias("t_pred"), "conf")
-        stray = spark.range(1, 6).select(F.lit(s).alias("system"), (F.col("id") + 2000000000).alias("ord"), F.concat(F.lit("extra-"), F.col("id").cast("string")).alias("pair_id"), F.lit(True).alias("y_pred"), F.lit(CONFLICT_TYPES[0]).alias("t_pred"), F.lit(0.5).alias("conf"))
-        own = main.unionByName(again).unionByName(stray)
-        out = own if out is None else out.unionByName(own)
-    return out
+
+    def own(tag: str) -> Column:
+        return F.conv(F.substring(F.md5(F.concat(F.lit(tag), "system", F.lit("|"), "pair_id")), 1, 8), 16, 10).cast("long")
+
+    rows = base.select("pair_id", "first", "y", "t", each).select("pair_id", "first", "y", "t", "s.*").where(own("drop") % 17 != 0)
+    rows = rows.withColumn("y_pred", F.when(own("flip") % 100 < F.col("rate"), ~F.col("y")).otherwise(F.col("y")))
+    any_type = F.get(types, (own("kind") % 4).cast("int"))
+    kind = F.when(F.col("y_pred") & ((own("type") % 100 < 30) | F.col("t.t_true").isNull()), any_type).when(F.col("y_pred"), F.col("t.t_true")).when(own("odd") % 23 == 0, F.lit(CONFLICT_TYPES[0]))
+    rows = rows.select("system", F.col("first").alias("ord"), "pair_id", "y_pred", kind.alias("t_pred"), (own("conf") % 1000 / F.lit(1000.0)).alias("conf"), (own("twice") % 19 == 0).alias("twice"))
+    main = F.struct("ord", "y_pred", "t_pred")
+    again = F.when(F.col("twice"), F.struct((F.col("ord") + 1000000000).alias("ord"), (~F.col("y_pred")).alias("y_pred"), F.lit(None).cast("string").alias("t_pred")))
+    out = rows.select("system", "pair_id", "conf", F.explode(F.array_compact(F.array(main, again))).alias("r")).select("system", "r.ord", "pair_id", "r.y_pred", "r.t_pred", "conf")
+    stray = spark.range(1, 6).select(each, (F.col("id") + 2000000000).alias("ord"), F.concat(F.lit("extra-"), F.col("id").cast("string")).alias("pair_id")).select("s.system", "ord", "pair_id", F.lit(True).alias("y_pred"), F.lit(CONFLICT_TYPES[0]).alias("t_pred"), F.lit(0.5).alias("conf"))
+    return out.unionByName(stray)
 
 
 def predictions_sql(systems: list[str] = ["s1"]) -> str:

@@ -33,7 +33,8 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with header, quoted fields, line feeds inside quotes; all columns are strings unless a schema is given."""
+    """CSV with header, quoted fields, line feeds inside quotes; all columns are strings unless a schema is given. An empty
+    cell is null."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
     return (reader.schema(schema) if schema else reader).csv(path)
 
@@ -68,3 +69,9 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
 
     row = F.from_json("value", PREDICTION)
     return lines.select("ord", row.alias("r")).select("ord", "r.pair_id", F.col("r.predicted_conflict_present").alias("y_pred"), F.col("r.predicted_conflict_type").alias("t_pred"), F.col("r.confidence_score").alias("conf"), F.col("r.model_metadata.model_name").alias("model_name"))
+
+
+def transcripts(spark: SparkSession, directory: str) -> DataFrame:
+    """(name, text): the transcripts of a folder, one file each, as text; whether they can be read is judged later."""
+    files = spark.read.text(f"{directory}/*.json", wholetext=True)
+    return files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))

@@ -18,7 +18,8 @@ def write_by_source(rows: DataFrame, path: str, *, format: str = "json", mode: s
 
 def write_csv(rows: DataFrame, path: str) -> None:
     """One CSV file with header, for small summaries."""
-    rows.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.coalesce(1).write.mode("overwrite").options(**kept).csv(path)
 
 
 def not_yet_written(rows: DataFrame, written: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,6 +50,13 @@ def write_bundle(directory: Path, tables: dict[str, DataFrame], config: dict) ->
     (directory / "config.json").write_text(json.dumps(config, ensure_ascii=False, sort_keys=True, indent=1, default=str))
 
 
+def store_fetched(results: DataFrame, path: str) -> None:
+    """Fetched contents below <path>/contents by status, so that those with another hash than asked for lie apart from the
+    good ones; all outcomes without contents as JSON lines below <path>/log."""
+    results.where(F.col("content").isNotNull()).write.mode("overwrite").partitionBy("status").parquet(f"{path}/contents")
+    results.drop("content").write.mode("overwrite").json(f"{path}/log")
+
+
 def markdown_table(rows: list[dict]) -> str:
     if not rows:
         return "(none)\n"

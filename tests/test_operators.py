@@ -392,3 +392,23 @@ def test_paths_and_subsets(spark):
 def test_release_paths_and_targets(spark):
     df = spark.createDataFrame([("ab" * 32, " Doc "), ("cd" * 32, "x.HTML"), ("ef" * 32, None)], "sha256 string, document_title string")
     assert [r["target"] for r in dataset.fetch_targets(df).orderBy("sha256").collect()] == ["abababab/Doc.pdf", "cdcdcdcd/x.HTML", "efefefef/untitled.pdf"]
+
+
+def test_numbered_is_the_place_in_the_order(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x"))
+    assert {r["x"]: r["row_no"] for r in dataset.numbered(df.repartition(7), ["x"], first=2).collect()} == {i: i + 2 for i in range(1000)}
+    assert dataset.numbered(df.limit(0), ["x"]).collect() == []
+
+
+def test_splits_do_not_depend_on_the_buckets(spark):
+    rows = spark.range(500).select(F.col("id").alias("record_no"), F.when(F.col("id") % 3 == 0, "conflict").otherwise("non_conflict").alias("record_type"), F.lit("recurring_friction").alias("conflict_type"))
+    a, b = (sorted(tuple(r) for r in dataset.stratified_split(rows, bucket_rows=n).collect()) for n in (100_000, 1))
+    assert a == b and len(a) == 500
+
+
+def test_unknown_prompt_variant(spark):
+    from docloom.functions import prompts
+
+    with pytest.raises(ValueError):
+        prompts.rendered(spark.range(1), ["Z"])
+    assert [r["partial"] for r in prompts.grid(spark, ["m"], ["val"], ["A"]).collect()] == [False]

@@ -163,3 +163,41 @@ def test_plans_prune_and_do_not_shuffle(spark):
     for name, query in queries.QUERIES.items():
         if name not in ("clean_text",):
             assert "CartesianProduct" not in plan(query(spark, DATA)), name
+
+
+def test_config_files(tmp_path):
+    from docloom.sources.config import load_config
+
+    (tmp_path / "a.json").write_text('{"seed": 42}')
+    (tmp_path / "b.yaml").write_text("")
+    (tmp_path / "c.json").write_text("[1]")
+    assert load_config(tmp_path / "a.json") == {"seed": 42}
+    with pytest.raises(ValueError):
+        load_config(tmp_path / "c.json")
+    with pytest.raises(ValueError):
+        load_config(tmp_path / "a.json").get("x") or load_config(__file__)
+    try:
+        import yaml  # noqa: F401
+    except ImportError:
+        with pytest.raises(RuntimeError):
+            load_config(tmp_path / "b.yaml")
+    else:
+        assert load_config(tmp_path / "b.yaml") == {}
+
+
+def test_transcripts_folder(spark, tmp_path):
+    from docloom.functions import replies
+
+    (tmp_path / "a_1.json").write_text('{"attempts": [{"temperature": 0.0, "parsed": {"success": false}},\n {"temperature": 0.3, "parsed": {"success": true, "conflict_present": true, "conflict_type": "recurring_friction"}}]}')
+    (tmp_path / "b_2.json").write_text('{"attempts": [')
+    rows = files.transcripts(spark, str(tmp_path)).withColumnRenamed("name", "pair_id")
+    assert [tuple(r) for r in replies.resumed(rows).collect()] == [("a_1.json", 2, 1, 0.3, True, "recurring_friction")]
+    pairs = spark.createDataFrame([("a:1",), ("b/2",), ("c",)], "pair_id string").select(replies.transcript_name("pair_id").alias("pair_id"))
+    assert {r[0] for r in replies.still_to_ask(pairs, rows).collect()} == {"b_2.json", "c.json"}
+
+
+def test_mismatched_contents_lie_apart(spark, tmp_path):
+    rows = [("a", "u", "ok", 1, None, b"x"), ("b", "v", "sha256_mismatch", 1, "content has another hash", b"y"), ("c", "w", "http_error", 0, "HTTP 404", None)]
+    sinks.store_fetched(spark.createDataFrame(rows, "sha256 string, source_url string, status string, bytes long, error string, content binary"), str(tmp_path / "out"))
+    assert {(r["sha256"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out/contents")).collect()} == {("a", "ok"), ("b", "sha256_mismatch")}
+    assert spark.read.json(str(tmp_path / "out/log")).count() == 3
