@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +13,14 @@ from docloom.functions import replies
 from docloom.operators import alignment, dataset, evaluation, ingestion, training
 from docloom.plans import views as V
 from docloom.plans.queries import _PAGES, _SIGNS, _CHECKS, _SPLIT, query
-from docloom.plans.runtime import shared_dir, table
+from docloom.plans.runtime import scratch, table
 from docloom.sources import extract, files, sinks
 
 # -- sources and sinks -------------------------------------------------------------------------------------------------
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/trip-{uuid.uuid4().hex}"
+    return scratch(spark, "trip")
 
 
 @query("SELECT " + ", ".join(f"nullif({c}, '') AS {c}" for c in ("sha256", "license_tier", "source_collection", "document_title", "filename")) + " FROM inventory")
