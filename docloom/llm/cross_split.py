@@ -15,7 +15,6 @@ from __future__ import annotations
 import io
 import math
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.hashes import MULT, mix, word_hashes
-from docloom.plans.runtime import cut_lineage, shared_dir, spread, table
+from docloom.plans.runtime import cut_lineage, scratch, spread, table
 
 SHARE = 0.7
 GRAM = 3
@@ -365,7 +364,7 @@ def near_same(records: DataFrame, *, id_col: str = "record_no", share: float = S
         return members, spark.createDataFrame([], schema)
     parts = F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, math.ceil(n / shard_words))))[F.col("step")]
     keyed = other.withColumn("part", F.pmod(F.xxhash64("sign"), parts).cast("int"))
-    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    path = scratch(spark, "index")
     shards = sum(math.ceil(n / shard_words) for n in totals.values())
     keyed.repartition(shards, "step", "part").groupBy("step", "part").applyInPandas(_build, "step int, part int, low long, high long, signs binary, data binary").write.parquet(path)
 

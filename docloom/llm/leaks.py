@@ -18,7 +18,6 @@ from __future__ import annotations
 import io
 import math
 import re
-import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.hashes import MULT, mix, word_hashes
-from docloom.plans.runtime import portions, shared_dir, spread, table, type_of
+from docloom.plans.runtime import portions, scratch, spread, table, type_of
 
 RUN, SHINGLE = 12, 5
 
@@ -253,7 +252,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, run: int, shingle:
         block = ItemBlock(list(zip(part["i"].tolist(), part["t"].tolist())), run, shingle)
         return pd.DataFrame({"block": [int(part["block"].iloc[0])], "filter": [block.filter.tobytes()], "data": [block.to_bytes()]})
 
-    path = f"{shared_dir(spark)}/items-{uuid.uuid4().hex}"
+    path = scratch(spark, "items")
     placed.repartition(min(sum(totals.values()), 4 * spark.sparkContext.defaultParallelism), "block").groupBy("block").applyInPandas(build, "block int, filter binary, data binary").write.parquet(path)
     return path
 
