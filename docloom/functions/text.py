@@ -18,6 +18,8 @@ SECTION_SIGNS = [
     r"(?i)\bArticle\s+\d+", r"(?i)\bRecital\s+\(?\d+\)?", r"(?i)\bRG\s?\d{1,4}\.\d+", r"\bs\.\s?\d+(\(\w+\))*", r"(?i)\bSection\s+\d+", r"(?i)\bClause\s+\d+",
     r"(?m)^\s*\d+\.\d+\s", r"(?m)^\s*\(\d+\)\s", r"(?m)^\s*\d+\.\s", r"(?i)\b[A-Z]ART\s+[IVX]+",
 ]
+
+# A line that is only a page number; characters that speak of a broken extraction.
 PAGE_NUMBER_LINE = r"(?imUd)^\s*(?:page\s+)?\d{1,4}(?:\s*/\s*\d{1,4}|\s+of\s+\d{1,4})?\s*$"
 SUSPICIOUS = "[�\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
 

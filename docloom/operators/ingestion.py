@@ -72,6 +72,7 @@ def document_checks(extracted: DataFrame, n: int = SAMPLE_PAGES) -> DataFrame:
 
 def reasons() -> Column:
     """The reasons against an extraction, in order; columns as in document_checks."""
+    # The reasons' texts and the limits beyond which they hold.
     return F.array_compact(F.array(
         F.when(F.coalesce("extractor", F.lit("")).isin("", "failed"), "extraction failed"),
         F.when(F.col("avg_chars") < 100, "near-empty document"),

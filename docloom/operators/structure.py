@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.tokenizers import Words, tokenizer
 from docloom.schemas import BLOCK
 
+# The mark before each page of a joined text, and the months as headings write them.
 PAGE_MARK = re.compile(r"\f<PAGE\s+(\d+)>\f")
-
 _MONTH = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"
 
 # Heading patterns of the generic parser, tried in this order.
@@ -120,21 +121,10 @@ def register_parser(name: str, parse: Callable[[str], list[dict]]) -> None:
     PARSERS[name] = parse
 
 
-_TOKENS = re.compile(r"\w+|[^\w\s]")
-
-
-def count_words(text: str) -> int:
-    """The default token count: words and single signs."""
-    return len(_TOKENS.findall(text))
-
-
-def hard_pieces(text: str, size: int) -> Iterator[str]:
-    """Pieces of `size` tokens each of a text without usable boundaries."""
-    ends = [m.end() for m in _TOKENS.finditer(text)][size - 1 :: size]
-    edges = sorted({0, *ends, len(text)})
-    return (text[a:b] for a, b in zip(edges, edges[1:]))
-
+WORDS = Words()
+count_words = WORDS.count
 
+# What parts paragraphs and sentences.
 _PARAGRAPH, _SENTENCE = re.compile(r"\n{2,}"), re.compile(r"(?<=[.!?])\s+(?=[A-Z(])")
 
 
@@ -160,14 +150,14 @@ class Packer:
         self.size += size
 
 
-def split_block(text: str, target: int, most: int) -> list[str]:
+def split_block(text: str, target: int, most: int, tokens=WORDS) -> list[str]:
     """A block over `most` tokens in pieces of whole sentences: a piece ends when it reaches the target, or before it
     would exceed the maximum; a sentence that is too long itself is cut by tokens."""
     pack, out = Packer(" "), []
     for sentence in sentences(text):
-        n = count_words(sentence)
+        n = tokens.count(sentence)
         if n > most:
-            out += [t for _, t in pack.flush()] + list(hard_pieces(sentence, target))
+            out += [t for _, t in pack.flush()] + list(tokens.pieces(sentence, target))
             continue
         over = pack.size + n > most
         if over:
@@ -178,13 +168,13 @@ def split_block(text: str, target: int, most: int) -> list[str]:
     return out + [t for _, t in pack.flush()]
 
 
-def pack_blocks(blocks: list[dict], target: int = 200, most: int = 400) -> list[tuple[dict, str]]:
+def pack_blocks(blocks: list[dict], target: int = 200, most: int = 400, tokens=WORDS) -> list[tuple[dict, str]]:
     """[(leading block, text)]: neighbours with the same parent and kind merge up to the target; larger ones are split."""
     pack, out = Packer("\n\n"), []
     for block in blocks:
-        n = count_words(block["text"])
+        n = tokens.count(block["text"])
         if n > most:
-            out += pack.flush() + [(block, t) for t in split_block(block["text"], target, most)]
+            out += pack.flush() + [(block, t) for t in split_block(block["text"], target, most, tokens)]
             continue
         head = pack.head
         alike = head is not None and (head["parent_citation"], head["kind"]) == (block["parent_citation"], block["kind"])
@@ -222,19 +212,21 @@ def parse_blocks(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, block_no int, {BLOCK}")
 
 
-def chunk_documents(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parser_col: str | None = None, parser: str = "generic", target: int = 200, most: int = 400) -> DataFrame:
+def chunk_documents(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parser_col: str | None = None, parser: str = "generic", target: int = 200, most: int = 400, tokens: str = "words", **options: str) -> DataFrame:
     """Parse and pack in one pass: (id_col, chunk_id, position, citation, parent_citation, kind, page_start, page_end,
-    text, n_tokens). Chunks have at most `most` tokens of the default count. No shuffle."""
+    text, n_tokens). Chunks have at most `most` tokens by the named tokenizer (see functions.tokenizers; options such as a
+    rank file's path go to it); with a subword one, a piece cut within a sentence can count a token or two more. No shuffle."""
     rows = texts.select(F.col(id_col), F.col(text_col).alias("_t"), (F.col(parser_col) if parser_col else F.lit(parser)).alias("_p"))
     fields = [("chunk_id", pa.string()), ("position", pa.int32()), ("citation", pa.string()), ("parent_citation", pa.string()), ("kind", pa.string()), ("page_start", pa.int32()), ("page_end", pa.int32()), ("text", pa.string()), ("n_tokens", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tokenizer(tokens, **options)
         for batch in batches:
             at, out = [], []
             for i, (doc, text, name) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
-                for k, (b, t) in enumerate(pack_blocks(PARSERS.get(name, parse_generic)(text or ""), target, most), 1):
+                for k, (b, t) in enumerate(pack_blocks(PARSERS.get(name, parse_generic)(text or ""), target, most, own), 1):
                     at.append(i)
-                    out.append((chunk_id(str(doc), t, k), k, b["citation"], b["parent_citation"], b["kind"], b["page_start"], b["page_end"], t, count_words(t)))
+                    out.append((chunk_id(str(doc), t, k), k, b["citation"], b["parent_citation"], b["kind"], b["page_start"], b["page_end"], t, own.count(t)))
             columns = list(zip(*out)) if out else [()] * len(fields)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, (_, t) in zip(columns, fields))], [id_col, *(n for n, _ in fields)])
 

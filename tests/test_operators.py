@@ -412,3 +412,20 @@ def test_unknown_prompt_variant(spark):
     with pytest.raises(ValueError):
         prompts.rendered(spark.range(1), ["Z"])
     assert [r["partial"] for r in prompts.grid(spark, ["m"], ["val"], ["A"]).collect()] == [False]
+
+
+def test_chunks_by_a_public_vocabulary(spark):
+    from docloom.functions import tokenizers
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    own = tokenizers.tokenizer("rank_file", path=path)
+    text = "Zürich 😀 rules. " * 300
+    assert own.decode(own.encode(text)) == text and "".join(own.pieces(text, 7)) == text and "".join(own.pieces("字😀" * 50, 1)) == "字😀" * 50
+    assert "".join(tokenizers.tokenizer().pieces(text, 7)) == text
+    docs = spark.createDataFrame([(1, text + "\n\n" + "word " * 900), (2, None)], "doc_id long, text string")
+    rows = structure.chunk_documents(docs, tokens="rank_file", path=path).collect()
+    assert len(rows) > 5 and all(r["n_tokens"] == own.count(r["text"]) <= 402 for r in rows)
+    with pytest.raises(ValueError):
+        tokenizers.tokenizer("none")
+    tokenizers.register("chars", lambda: type("Chars", (), {"count": staticmethod(len), "pieces": staticmethod(lambda t, n: (t[i : i + n] for i in range(0, len(t), n)))})())
+    assert tokenizers.tokenizer("chars").count("abc") == 3
