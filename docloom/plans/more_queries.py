@@ -12,7 +12,7 @@ from docloom.functions import prompts as P
 from docloom.functions import replies
 from docloom.operators import alignment, dataset, evaluation, ingestion, training
 from docloom.plans import views as V
-from docloom.plans.queries import _PAGES, _SIGNS, _CHECKS, _SPLIT, query
+from docloom.plans.queries import _CHECKS, _SIGNS, _SPLIT, query
 from docloom.plans.runtime import scratch, table
 from docloom.sources import extract, files, sinks
 
