@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,6 +137,16 @@ def attempt_ends(attempts: DataFrame, keys: list[str], columns: list[str], order
     return attempts.groupBy(*keys).agg(*(f(c, order).alias(f"{end}_{c}") for c in columns for end, f in (("first", F.min_by), ("last", F.max_by))))
 
 
+def progress(outcomes: DataFrame, by: list[str], order: str, seconds: str = "total_latency") -> DataFrame:
+    """(by..., order, done, total, mean_seconds, seconds_left): how far each group's run was after each answer, and what was
+    left at the mean pace so far."""
+    sofar = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    done, total = F.row_number().over(Window.partitionBy(*by).orderBy(order)), F.count(F.lit(1)).over(Window.partitionBy(*by))
+    micros = F.round(F.coalesce(seconds, F.lit(0.0)) * 1_000_000).cast("long")  # whole numbers, so that the order of adding doesn't matter
+    rows = outcomes.select(*by, order, done.alias("done"), total.alias("total"), (F.sum(micros).over(sofar) / done / 1_000_000).alias("_mean"))
+    return rows.select(*by, order, "done", "total", F.round("_mean", 6).alias("mean_seconds"), F.round(F.col("_mean") * (F.col("total") - F.col("done")), 6).alias("seconds_left"))
+
+
 def transcript_name(pair_id: str) -> Column:
     """A file name for a pair's transcript: colons and slashes become underscores."""
     return F.concat(F.translate(pair_id, ":/", "__"), F.lit(".json"))

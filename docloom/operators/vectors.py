@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.plans.runtime import cut_lineage
+
 #: Query vectors in one block: each block is broadcast and takes one pass over the rows.
 BLOCK_ROWS = 4096
 
@@ -48,3 +50,22 @@ def near_vectors(rows: DataFrame, queries: DataFrame, *, id_col: str = "vec_id",
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
+
+
+def collapse(rows: DataFrame, pairs: DataFrame, *, id_col: str = "vec_id") -> DataFrame:
+    """(id_col, class_id): the smallest id among the rows that pairs (query_id, id) link, directly or through others.
+
+    A row in no pair is a class of its own; a null id has none. Every round takes the smallest class among a row's
+    neighbours and then that class's own class, so that the rounds grow with the logarithm of the longest chain.
+    """
+    links = cut_lineage(pairs.select(F.explode(F.array(F.struct(F.col("query_id").alias("u"), F.col("id").alias("v")), F.struct(F.col("id").alias("u"), F.col("query_id").alias("v")))).alias("l")).select("l.*").where("u <> v").distinct())
+    classes = cut_lineage(rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("u")).distinct().withColumn("c", F.col("u")))
+    while True:
+        near = links.join(classes.select(F.col("u").alias("v"), F.col("c").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
+        lower = classes.join(near, "u", "left").select("u", "c", F.least("c", F.coalesce("near", "c")).alias("n"))
+        # the class's own class: one row per row that is a class's name
+        jumped = lower.join(lower.select(F.col("u").alias("n"), F.col("n").alias("top")), "n")
+        jumped = cut_lineage(jumped.select("u", F.col("top").alias("n"), F.col("c").alias("was")))
+        classes = jumped.select("u", F.col("n").alias("c"))
+        if not jumped.where("n <> was").head(1):
+            return classes.select(F.col("u").alias(id_col), F.col("c").alias("class_id"))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from docloom import schemas
 from docloom.functions import prompts as P
 from docloom.functions import replies
-from docloom.operators import alignment, dataset, evaluation, ingestion, training
+from docloom.operators import alignment, dataset, evaluation, ingestion, training, vectors
 from docloom.plans import views as V
-from docloom.plans.queries import _CHECKS, _SIGNS, _SPLIT, query
+from docloom.plans.queries import _CHECKS, _OUTCOMES, _SIGNS, _SPLIT, _outcomes, query
 from docloom.plans.runtime import scratch, table
 from docloom.sources import extract, files, sinks
 
@@ -337,3 +337,26 @@ def truncation_by_side(spark, d):
     sides = V.records(spark, d).select(count("evidence_a").alias("a"), count("evidence_b").alias("b"))
     flags = {f"{kind}_{s}": F.col(s) > 240 for kind in ("truncated", "mid") for s in "ab"}
     return training.truncation_statistics(sides.withColumns(flags | {"length": (F.least("a", F.lit(240)) + F.least("b", F.lit(240)) + 3).cast("int")}))
+
+
+@query(f"WITH {_RUNS} SELECT run, epoch, train_f1, val_f1 FROM epochs")
+def training_log(spark, d):
+    """Two halves of the epochs appended to one log, and read back."""
+    path, rows = _folder(spark), _epochs(spark)
+    for half in (rows.where("epoch <= 6"), rows.where("epoch > 6")):
+        sinks.append_training_log(half, path)
+    return spark.read.schema("run int, epoch int, train_f1 double, val_f1 double").json(path)
+
+
+@query(f"""WITH {_OUTCOMES}, g AS (SELECT pair_id, n_attempts, total_latency FROM outcomes), w AS (SELECT n_attempts, pair_id, (row_number() OVER x)::INT AS done, count(*) OVER (PARTITION BY n_attempts) AS total, (sum(round(total_latency * 1000000)::BIGINT) OVER x)::DOUBLE / row_number() OVER x / 1000000 AS m FROM g WINDOW x AS (PARTITION BY n_attempts ORDER BY pair_id ROWS UNBOUNDED PRECEDING))
+SELECT n_attempts, pair_id, done, total, round(m, 6) AS mean_seconds, round(m * (total - done), 6) AS seconds_left FROM w""")
+def run_progress(spark, d):
+    return replies.progress(_outcomes(spark, d), ["n_attempts"], "pair_id")
+
+
+@query("""WITH RECURSIVE p AS (SELECT q.vec_id AS u, r.vec_id AS v FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 AND list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) >= 0.25),
+l AS (SELECT u, v FROM p UNION SELECT v, u FROM p), reach(u, v) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN l ON r.v = l.u) SELECT u AS vec_id, min(v) AS class_id FROM reach GROUP BY u""")
+def collapsed_vectors(spark, d):
+    """The links of near_vectors (ids divisible by 50 against all), collapsed to classes."""
+    rows = table(spark, d, "embeddings")
+    return vectors.collapse(rows, vectors.near_vectors(rows, rows.where(F.col("vec_id") % 50 == 0), least=0.25))

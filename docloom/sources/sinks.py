@@ -57,6 +57,11 @@ def store_fetched(results: DataFrame, path: str) -> None:
     results.drop("content").write.mode("overwrite").json(f"{path}/log")
 
 
+def append_training_log(epochs: DataFrame, path: str) -> None:
+    """Epochs' losses and scores as further JSON lines of a log; drawing them is left to the reader."""
+    epochs.write.mode("append").json(path)
+
+
 def markdown_table(rows: list[dict]) -> str:
     if not rows:
         return "(none)\n"

@@ -429,3 +429,13 @@ def test_chunks_by_a_public_vocabulary(spark):
         tokenizers.tokenizer("none")
     tokenizers.register("chars", lambda: type("Chars", (), {"count": staticmethod(len), "pieces": staticmethod(lambda t, n: (t[i : i + n] for i in range(0, len(t), n)))})())
     assert tokenizers.tokenizer("chars").count("abc") == 3
+
+
+def test_collapse_follows_chains(spark):
+    from docloom.operators import vectors
+
+    rows = spark.range(1, 60).withColumnRenamed("id", "vec_id")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 40)][::-1] + [(50, 51), (51, 50), (55, 55), (None, 3)], "query_id long, id long")
+    got = {r["vec_id"]: r["class_id"] for r in vectors.collapse(rows, pairs).collect()}
+    assert got == {i: 1 if i <= 40 else 50 if i in (50, 51) else i for i in range(1, 60)}
+    assert vectors.collapse(rows.limit(0), pairs.limit(0)).collect() == []
