@@ -40,22 +40,23 @@ def class_priors(train: DataFrame) -> DataFrame:
     return train.agg(F.round(scores.ratio(F.count_if(y), F.count(F.lit(1))), 9).alias("p_conflict"), *shares)
 
 
-def stratified_predict(train: DataFrame, rows: DataFrame, seeds: list[int], *, order: str = "record_no") -> DataFrame:
-    """(seed, ord, pair_id, y_pred, t_pred, conf): random predictions with the training shares, one set per seed.
+def stratified_predict(train: DataFrame, rows: DataFrame, seeds: list[int], *, order: str = "record_no", keep: list[str] = []) -> DataFrame:
+    """(seed, ord, pair_id, y_pred, t_pred, conf, keep...): random predictions with the training shares, one set per seed.
 
-    Without any typed conflict in training the types are uniform. All seeds are one job.
+    Without any typed conflict in training the types are uniform. All seeds are one job. What else is needed of a row
+    goes along by keep: a join with the result has seeds times as many rows, which Spark's size estimates leave out.
     """
     p = class_priors(train).first()
     shares = [p[f"p_{c}"] for c in CONFLICT_TYPES]
     shares = shares if sum(shares) > 0 else [0.25] * 4
-    seeded = rows.select(F.col(order).alias("ord"), "pair_id", F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
+    seeded = rows.select(F.col(order).alias("ord"), "pair_id", *keep, F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
     key = [F.col("seed").cast("string"), F.col("ord").cast("string")]
     y = uniform(F.lit("y"), *key) < p["p_conflict"]
     u, kind, total = uniform(F.lit("t"), *key), None, 0.0
     for c, share in list(zip(CONFLICT_TYPES, shares))[:-1]:
         total += share
         kind = F.when(u < total, c) if kind is None else kind.when(u < total, c)
-    return seeded.select("seed", "ord", "pair_id", y.alias("y_pred"), F.when(y, kind.otherwise(CONFLICT_TYPES[-1])).alias("t_pred"), F.lit(p["p_conflict"]).alias("conf"))
+    return seeded.select("seed", "ord", "pair_id", y.alias("y_pred"), F.when(y, kind.otherwise(CONFLICT_TYPES[-1])).alias("t_pred"), F.lit(p["p_conflict"]).alias("conf"), *keep)
 
 
 def summarise(values: DataFrame, column: str, by: list[str] = []) -> DataFrame:

@@ -247,13 +247,18 @@ def stratified_predict(spark, d):
     return predictors.stratified_predict(*_train(spark, d), list(range(N_SEEDS)))
 
 
+#: Records of a task that makes a row of each per seed: their bytes alone would put all of them into one.
+SWEEP_ROWS = 20_000
+
+
 def _sweep(spark, d):
     """Predictions of all seeds with split and truth."""
     train, other = _train(spark, d)
-    said = predictors.stratified_predict(train, other, list(range(N_SEEDS)))
     y = alignment.is_conflict()
-    truth = other.select(F.col("record_no").alias("ord"), "split", y.alias("y_true"), F.when(y, F.col("conflict_type")).alias("t_true"))
-    return said.join(truth, "ord")
+    other = other.repartition(max(spark.sparkContext.defaultParallelism, -(-other.count() // SWEEP_ROWS)), "record_no")
+    truth = other.select("record_no", "split", y.alias("y_true"), F.when(y, F.col("conflict_type")).alias("t_true"))
+    rows = other.select("record_no", "pair_id").join(truth, "record_no")  # before there is a row per seed
+    return predictors.stratified_predict(train, rows, list(range(N_SEEDS)), keep=["split", "y_true", "t_true"])
 
 
 _AREA = "CASE WHEN count(*) FILTER (y_true) > 0 AND count(*) FILTER (NOT y_true) > 0 THEN 0.5::DOUBLE END"  # one score for all rows: every pair is a tie
