@@ -277,6 +277,18 @@ def test_repeated_lines_against_brute_force(spark):
     assert all("Share this" not in (r["text"] or "") for no, r in clean.items() if norm(rows[no][2]) == "site") and clean[next(n for n, _, _, t in rows if t is None and n != 3)]["text"] is None
 
 
+def test_repeated_lines_are_counted_once_by_their_letters(spark, monkeypatch):
+    """No stage that can change no row; lines with the same lowest words are not counted together."""
+    counted, counts = [], repeated_lines._doc_counts
+    monkeypatch.setattr(repeated_lines, "_doc_counts", lambda rows, keys: counted.append(keys) or counts(rows, keys))
+    df = spark.createDataFrame([(i, f"d{i}", "site", f"all rights\n{'all rights ' * (i % 2 + 2)}\nrights all {i}") for i in range(6)], "chunk_no long, doc_id string, issuing_body string, text string")
+    got = sorted(tuple(r) for r in repeated_lines.repeated_lines(df).collect())
+    assert counted == [["source_key", "line_key"]]
+    assert got == sorted((i, no) for i in range(6) for no in (1, 3))
+    keyed, many = repeated_lines._stages(df, "chunk_no", "doc_id", "issuing_body", "text", 4, 10)
+    assert keyed.columns == ["row", "line_no", "source_key", "doc_key", "line_key"] and many.count() == 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.lists(st.sampled_from("abcd"), max_size=9), max_size=3), min_size=1, max_size=5), st.lists(st.lists(st.lists(st.sampled_from("abcde"), max_size=9), max_size=3), max_size=5))
 def test_index_search_against_brute_force(records, block):
